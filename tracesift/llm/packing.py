@@ -9,8 +9,10 @@ pieces of equal length, which is a distributed prefix sum over salted ranges of
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,42 +23,132 @@ from pyspark.sql.window import Window
 from tracesift.llm.scratch import cut
 
 CAPACITY = 4096
-WORDS_KEPT = 200_000
+WORDS_KEPT = 800_000
+#: A control character that is a token of its own.
+MARK = "\x01"
+SIGNS = ".,;:!?%$&#*"
+
+
+class _Store:
+    """Token ids of byte strings, all in one array; entry 0 is empty."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {b"": 0}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ends, self.known = np.zeros(1 << 14, np.int64), 1
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.known + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.ends[self.known : self.known + len(words)] = self.used + np.cumsum(sizes)
+        self.at.update(zip(words, range(self.known, self.known + len(words)), strict=True))
+        self.used, self.known = self.used + len(ids), self.known + len(words)
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the entries in a row, and each entry's count."""
+        ends = self.ends[entries]
+        n = ends - np.where(entries > 0, self.ends[entries - 1], 0)
+        to = np.cumsum(n)
+        return self.pool[np.arange(to[-1] if len(to) else 0) + np.repeat(ends - to, n)], n
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a word has letters of the Latin blocks only; lower-casing parts none of these from its marks."""
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
 
 
 class _Encoder:
-    """Token ids by word: no token crosses ASCII white space, so a text's ids are its words' ids in a row."""
+    """Token ids by word: no token crosses ASCII white space, so a text's ids are its words' ids in a row.
 
-    def __init__(self, path: str):
+    With ``split_marks``, for tokenizers that part letters from signs, signs that end a word are looked up apart, so
+    fewer words are new. New ones are encoded together, in long runs with a mark between them whose one id tells them apart."""
+
+    def __init__(self, path: str, split_marks: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.at: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.mark_ids = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.split_marks = split_marks and self._parts(["a" + SIGNS, "a", SIGNS]) and self._parts(["é" + SIGNS, "é", SIGNS])
+        self.words, self.cores = _Store(), _Store()
+        vocab = self.tokenizer.get_vocab()
+        closing = [i for t, i in vocab.items() if t.endswith("</w>")]
+        self.closes = None
+        if closing and self.split_marks:
+            self.closes = np.zeros(max(vocab.values()) + 1, bool)
+            self.closes[closing] = True
+
+    def _parts(self, texts: list[str]) -> bool:
+        whole, *parts = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
+        return whole == [i for p in parts for i in p]
+
+    def _ids(self, new: list[bytes]) -> None:
+        """Encodes new entries of ``cores``."""
+        odd = [w for w in new if len(self.mark_ids) != 1 or MARK.encode() in w]
+        if odd:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)]
+            self.cores.add(odd, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+            gone = set(odd)
+            new = [w for w in new if w not in gone]
+        if self.closes is not None:  # words of letters alone are one part each, which its last token closes
+            plain = [w for w in new if w.isalpha() or _letters(w)]
+            for i in range(0, len(plain), 4000):
+                some = plain[i : i + 4000]
+                ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+                last = np.flatnonzero(self.closes[ids])
+                if len(last) != len(some):
+                    raise ValueError("a word of letters has several parts in this tokenizer")
+                self.cores.add(some, ids, np.diff(last, prepend=-1))
+            new = [w for w in new if not (w.isalpha() or _letters(w))]
+        between = f" {MARK} ".encode()
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([(between.join(some) + between).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark_ids[0])
+            if len(marks) != len(some):
+                raise ValueError("the mark isn't a token of its own in this tokenizer")
+            self.cores.add(some, np.delete(ids, marks), np.diff(marks, prepend=-1) - 1)
+
+    def _learn(self, new: list[bytes]) -> None:
+        parts, signs = [], SIGNS.encode()
+        for w in new:
+            core = w.rstrip(signs) if self.split_marks and b"<|" not in w else w
+            # a letter before the signs, or they belong to what precedes
+            if core and len(core) < len(w) and (core[-1:].isalpha() or core[-1] > 127 and core.decode()[-1].isalpha()):
+                parts += (core, w[len(core) :])
+            else:
+                parts += (w, b"")
+        if self.cores.known > WORDS_KEPT:
+            self.cores = _Store()
+        fresh = list(set(parts).difference(self.cores.at))
+        if fresh:
+            self._ids(fresh)
+        ids, n = self.cores.gather(np.array([self.cores.at[p] for p in parts], np.int64))
+        self.words.add(new, ids, n[0::2] + n[1::2])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's count."""
-        if len(self.at) > WORDS_KEPT:
-            self.at, self.ids = {}, []
+        if self.words.known > WORDS_KEPT:
+            self.words = _Store()
         split = [t.encode().split() for t in texts]  # bytes.split knows ASCII white space only
-        new = list({w for ws in split for w in ws}.difference(self.at))
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.at[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-        get = self.at.__getitem__
-        flat = np.array([k for ws in split for k in map(get, ws)], np.int64)
-        if not len(flat):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        sizes = np.array([len(x) for x in self.ids], np.int64)
-        pool, first = np.concatenate(self.ids), np.concatenate([[0], np.cumsum(sizes)])
-        n = sizes[flat]
-        to = np.cumsum(n)
-        take = np.arange(to[-1]) + np.repeat(first[flat] - (to - n), n)
-        words = np.array([len(ws) for ws in split])
-        upto = np.concatenate([[0], to])[np.concatenate([[0], np.cumsum(words)])]
-        return pool[take], np.diff(upto)
+        flat = list(chain.from_iterable(split))
+        entries = np.fromiter(map(self.words.at.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(entries < 0).tolist()
+        if missing:
+            unknown = [flat[i] for i in missing]
+            self._learn(list(dict.fromkeys(unknown)))
+            entries[missing] = [self.words.at[w] for w in unknown]
+        ids, n = self.words.gather(entries)
+        upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(ws) for ws in split])])]
+        return ids, np.diff(upto)
+
+
+#: One encoder a worker process, so that tasks share what is known.
+_ENCODERS: dict[str, _Encoder] = {}
 
 
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep=None) -> DataFrame:
@@ -67,14 +159,14 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     ``keep``: a function of (ids, starts, lengths) that gives an Arrow array instead of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _Encoder(tokenizer)
+        coder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, _Encoder(tokenizer))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             weight, at = 0, 0
             for i, t in enumerate(texts):
                 texts[i] = t = t or ""
                 weight += len(t)
-                if weight > 1 << 21 or i + 1 == len(texts):
+                if weight > 1 << 20 or i + 1 == len(texts):
                     yield piece(batch.column(0).slice(at, i + 1 - at), *coder.encode(texts[at : i + 1]))
                     weight, at = 0, i + 1
 

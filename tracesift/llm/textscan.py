@@ -13,7 +13,7 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
