@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracesift.llm.blocks import pair_blocks
 from tracesift.llm.graph import components
-from tracesift.llm.scratch import cut
+from tracesift.llm.scratch import cut, frugal
 from tracesift.llm.topk import usable
 
 PASSES = 16
@@ -43,6 +43,7 @@ def units(embeddings: DataFrame) -> DataFrame:
     clean = embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
     clean = clean.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_normal(np.array(v, np.float64)) for v in batch.column(1).to_pylist()]
@@ -54,6 +55,7 @@ def units(embeddings: DataFrame) -> DataFrame:
 def hashed(vectors: DataFrame, passes: int) -> DataFrame:
     """dims, pass, key, vec_id, unit: a row for each vector and pass; keys sort as their 64 sign bits."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -117,6 +119,7 @@ def links(vectors: DataFrame, limit: float, passes: int = PASSES, neighbours: in
                 out |= _window_links(ids[a:b], x, max(0, first - a), neighbours, limit)
         return out
 
+    @frugal
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -171,6 +174,7 @@ def classes(embeddings: DataFrame, limit: float = 0.9, passes: int = PASSES, nei
     member = cut(vectors.join(label.withColumnRenamed("id", "_id"), F.expr("vec_id = _id")).select("vec_id", F.col("component").alias("grp"), "unit"))
 
     # the components' means, summed by task first
+    @frugal
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -190,6 +194,7 @@ def classes(embeddings: DataFrame, limit: float = 0.9, passes: int = PASSES, nei
     mean = part.select("grp", F.posexplode("s").alias("i", "x")).groupBy("grp", "i").agg(F.sum("x").alias("x")).groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
     near = math.cos(math.acos(limit) / 2) + 1e-9
 
+    @frugal
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             core = []

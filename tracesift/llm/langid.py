@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracesift.llm.scratch import frugal
+
 SPAN = 24
 HIDDEN = 24
 DOCS_PER_LANGUAGE = 300
@@ -225,6 +227,7 @@ def predict(docs: DataFrame, model: Model | None, sharpness: float = 4.0) -> Dat
     Only doc_id and text are read. ``sharpness``: the factor on pooled mean log probabilities before they are normalised."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model) if model else None
         for batch in batches:

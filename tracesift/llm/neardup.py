@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from tracesift.llm.blocks import pair_blocks
 from tracesift.llm.graph import components
-from tracesift.llm.scratch import cut
+from tracesift.llm.scratch import cut, frugal
 from tracesift.llm.textscan import mix, runs, slices, words
 
 BUCKETS, MANTISSA = 256, 10
@@ -115,6 +115,7 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, the set's digest (two longs) and band hashes of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1), width):
@@ -131,6 +132,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """Rows of ``docs`` (doc_id, text and others) with ``shingles`` (sorted 64-bit hashes as bytes) for the text."""
     rest = [f for f in docs.schema.fields if f.name != "text"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")

@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracesift.llm.scratch import cut
+from tracesift.llm.scratch import cut, frugal
 
 CAPACITY = 4096
-WORDS_KEPT = 800_000
+WORDS_KEPT, CORES_KEPT, HOT = 500_000, 1_200_000, 15_000
 #: A control character that is a token of its own.
 MARK = "\x01"
 SIGNS = ".,;:!?%$&#*"
@@ -34,6 +34,7 @@ class _Store:
 
     def __init__(self):
         self.at: dict[bytes, int] = {b"": 0}
+        self.first: dict[bytes, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.ends, self.known = np.zeros(1 << 14, np.int64), 1
 
@@ -47,6 +48,12 @@ class _Store:
         self.at.update(zip(words, range(self.known, self.known + len(words)), strict=True))
         self.used, self.known = self.used + len(ids), self.known + len(words)
 
+    def hot(self) -> dict[bytes, int]:
+        """The entries met first, which are the frequent ones; few enough for a processor's cache."""
+        if not self.first and self.known > HOT:
+            self.first = dict(islice(self.at.items(), HOT))
+        return self.first
+
     def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the entries in a row, and each entry's count."""
         ends = self.ends[entries]
@@ -74,7 +81,7 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark_ids = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.split_marks = split_marks and self._parts(["a" + SIGNS, "a", SIGNS]) and self._parts(["é" + SIGNS, "é", SIGNS])
-        self.words, self.cores = _Store(), _Store()
+        self.words, self.earlier, self.cores = _Store(), _Store(), _Store()
         vocab = self.tokenizer.get_vocab()
         closing = [i for t, i in vocab.items() if t.endswith("</w>")]
         self.closes = None
@@ -122,7 +129,7 @@ class _Encoder:
                 parts += (core, w[len(core) :])
             else:
                 parts += (w, b"")
-        if self.cores.known > WORDS_KEPT:
+        if self.cores.known > CORES_KEPT:
             self.cores = _Store()
         fresh = list(set(parts).difference(self.cores.at))
         if fresh:
@@ -130,17 +137,26 @@ class _Encoder:
         ids, n = self.cores.gather(np.array([self.cores.at[p] for p in parts], np.int64))
         self.words.add(new, ids, n[0::2] + n[1::2])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and each text's count."""
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and each text's count, of texts in UTF-8."""
         if self.words.known > WORDS_KEPT:
-            self.words = _Store()
-        split = [t.encode().split() for t in texts]  # bytes.split knows ASCII white space only
+            self.words, self.earlier = _Store(), self.words
+        split = [t.split() for t in texts]  # bytes.split knows ASCII white space only
         flat = list(chain.from_iterable(split))
-        entries = np.fromiter(map(self.words.at.get, flat, repeat(-1)), np.int64, len(flat))
+        entries = np.fromiter(map(self.words.hot().get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(entries < 0)
+        rest = [flat[i] for i in missing.tolist()]
+        entries[missing] = np.fromiter(map(self.words.at.get, rest, repeat(-1)), np.int64, len(rest))
         missing = np.flatnonzero(entries < 0).tolist()
         if missing:
             unknown = [flat[i] for i in missing]
-            self._learn(list(dict.fromkeys(unknown)))
+            new = list(dict.fromkeys(unknown))
+            before = np.fromiter(map(self.earlier.at.get, new, repeat(-1)), np.int64, len(new))
+            again = np.flatnonzero(before >= 0).tolist()
+            if again:  # still known from before the last change of stores
+                self.words.add([new[i] for i in again], *self.earlier.gather(before[again]))
+                new = [new[i] for i in np.flatnonzero(before < 0).tolist()]
+            self._learn(new)
             entries[missing] = [self.words.at[w] for w in unknown]
         ids, n = self.words.gather(entries)
         upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(ws) for ws in split])])]
@@ -158,13 +174,14 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     than ``capacity`` are cut. A null or empty text is the end id alone. Rows are independent of each other.
     ``keep``: a function of (ids, starts, lengths) that gives an Arrow array instead of the ids."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, _Encoder(tokenizer))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
             weight, at = 0, 0
             for i, t in enumerate(texts):
-                texts[i] = t = t or ""
+                texts[i] = t = t or b""
                 weight += len(t)
                 if weight > 1 << 20 or i + 1 == len(texts):
                     yield piece(batch.column(0).slice(at, i + 1 - at), *coder.encode(texts[at : i + 1]))
@@ -262,6 +279,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = 100_000)
     for length, low, high, first, each, offset in sorted(plan(histogram, capacity)):
         layout[length].append((low, first, each, offset))
 
+    @frugal
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = {s: np.array(p, np.int64) for s, p in layout.items()}
         for batch in batches:

@@ -7,11 +7,35 @@ Only where that setting is absent (tests, single machine) a folder of our own is
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function for ``mapInArrow`` that gives freed memory back once its partition ends, as workers are kept for later tasks."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -29,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{root(spark)}/tracesift-{uuid.uuid4().hex}"
     _MADE.append((spark, at))
-    df.write.option("compression", "lz4").parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

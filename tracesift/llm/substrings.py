@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesift.llm.scratch import cut
+from tracesift.llm.scratch import cut, frugal
 from tracesift.llm.textscan import mix, runs, slices, words
 
 WINDOW = 50
@@ -57,6 +57,7 @@ def profile(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, n_words, the word sequence's digest, SHA-256 of the words joined by spaces, and distinct minimisers."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, body, offsets in slices(batch.column(1)):
@@ -82,6 +83,7 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
 
     gram, part, id, d0, start (word index of the first), paths (the windows' hashes, 8 bytes each)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, d0, d1 = (np.asarray(batch.column(i), np.int64) for i in range(3))
@@ -119,6 +121,7 @@ def tree_repeats(rows: DataFrame, final: bool) -> DataFrame:
     """From one task's suffixes: repeats (id, d0, start, stop of suffix starts; paths null), and for split groups
     (part >= 0) each node's least document, to be met by those of other parts (paths set)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[np.asarray(b.column(i), np.int64) for i in range(5)] + [b.column(5).to_pylist()] for b in batches if b.num_rows]
         if not parts:
@@ -197,6 +200,7 @@ def removed(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataF
     by_doc = found.groupBy("id", "d0").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     changed = docs.select("doc_id", "text").join(by_doc, F.expr("doc_id = id")).select("id", "d0", "text", "spans")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, d0, out = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64), []

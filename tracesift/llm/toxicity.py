@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracesift.llm.neardup import shingle_sets
-from tracesift.llm.scratch import cut
+from tracesift.llm.scratch import cut, frugal
 
 #: Letters that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -123,6 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_R
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
+    @frugal
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in shingle_sets(batch.column(0), 5):
@@ -132,6 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_R
     texts = texts.mapInArrow(sketch, "text string, toxic int, h long")
     texts = cut(texts.groupBy("h").agg(F.max(F.struct("toxic", "text")).alias("r")).select("r.text", "r.toxic"))
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, n = Counter(), Counter(), [0, 0]
         for batch in batches:
@@ -160,6 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_R
             terms[r["term"]] = float(r["w"])
     model = Model(terms or {k + " ": v for k, v in PRIOR.items()})
 
+    @frugal
     def density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model.automaton()
         for batch in batches:
@@ -189,6 +192,7 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
     A null or empty text has no hit and gets the score of density 0. Only doc_id and text are read."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model.automaton()
         for batch in batches:
@@ -206,6 +210,7 @@ def flagged(docs: DataFrame, model: Model, limit: float, keep: bool) -> DataFram
     """The rows of ``docs``, all columns, whose score is at least ``limit`` (``keep``) or below it. No row is matched by its id."""
     at = docs.columns.index("text")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model.automaton()
         for batch in batches:
