@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracesift.llm.scratch import cut, frugal
+from tracesift.llm.scratch import cut, frugal, held
 
 CAPACITY = 4096
 WORDS_KEPT, CORES_KEPT, HOT = 500_000, 1_200_000, 15_000
@@ -163,10 +163,6 @@ class _Encoder:
         return ids, np.diff(upto)
 
 
-#: One encoder a worker process, so that tasks share what is known.
-_ENCODERS: dict[str, _Encoder] = {}
-
-
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep=None) -> DataFrame:
     """Pieces of every row's whole text: doc_id, piece, start, length, ids.
 
@@ -174,9 +170,11 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     than ``capacity`` are cut. A null or empty text is the end id alone. Rows are independent of each other.
     ``keep``: a function of (ids, starts, lengths) that gives an Arrow array instead of the ids."""
 
-    @frugal
+    name = f"encoder {tokenizer}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, _Encoder(tokenizer))
+        # one encoder a worker process, so that tasks share what is known; other operators' tasks drop it
+        coder = held(name, lambda: _Encoder(tokenizer))
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             weight, at = 0, 0
@@ -204,7 +202,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         return pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), held], names=["doc_id", "piece", "start", "length", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids {'array<int>' if keep is None else 'long'}")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run, name), f"doc_id {kind}, piece int, start long, length long, ids {'array<int>' if keep is None else 'long'}")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

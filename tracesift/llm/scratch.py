@@ -17,21 +17,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 
-def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task function for ``mapInArrow`` that gives freed memory back once its partition ends, as workers are kept for later tasks."""
+#: What a worker process holds from task to task, by name. Task functions travel by value and so would carry copies of it:
+#: they must reach it through the functions of this module.
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What this process holds by that name, made where it isn't there."""
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def drop_held(keeps: str = "") -> None:
+    for name in [n for n in _HELD if n != keeps]:
+        del _HELD[name]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """A task function for ``mapInArrow`` that is careful with a worker's memory, as workers are kept for later tasks.
+
+    It drops what other functions' tasks have left behind, but for the name ``keeps``, and gives freed memory back at the end."""
 
     @wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        drop_held(keeps)
         try:
             yield from run(batches)
         finally:
-            import pyarrow as pa
-
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            give_back()
 
     return wrapped
 
