@@ -24,7 +24,8 @@ from tracesift.llm.scratch import cut, frugal
 from tracesift.llm.textscan import mix, runs, slices, words
 
 WINDOW = 50
-GROUP_ROWS = 20_000
+#: Larger groups are split into as many parts as the root of their size, so that both levels stay small.
+GROUP_ROWS = 1000
 TASK_SUFFIXES = 2_000_000
 
 
@@ -171,7 +172,7 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     least = known.groupBy(*digest).agg(F.min("doc_id").alias("least"))
     grams = known.join(least, digest).where("doc_id = least").select(F.col("doc_id").cast("long").alias("id"), "d0", "d1", F.explode(F.array_distinct("grams")).alias("gram")).dropDuplicates(["id", "d0", "gram"])
     shared = cut(grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("gram", "n"))
-    parts = F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("long").alias("parts")
+    parts = F.when(F.col("n") > GROUP_ROWS, F.ceil(F.sqrt(F.col("n").cast("double")))).otherwise(1).cast("long").alias("parts")
     wanted = grams.join(shared.select("gram", parts), "gram").groupBy("id", "d0", "d1").agg(F.collect_list(F.struct("gram", "parts")).alias("grams"))
     texts = docs.select("doc_id", "text").join(wanted, F.expr("doc_id = id")).select("id", "d0", "d1", "text", "grams")
     total = shared.agg(F.sum("n")).first()[0] or 0
