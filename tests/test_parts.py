@@ -94,3 +94,27 @@ def test_stress_states(spark, steps, states):
     df = spark.createDataFrame([("n", t, level) for t, level in steps], "node string, t long, level long").select("node", F.timestamp_seconds("t").alias("at"), "level")
     assert [r.stressed for r in stress_states(df).orderBy("at").collect()] == states
     assert {r.stressed for r in stress_states(df, mode="always").collect()} == {True}
+
+
+def test_delivery(spark, tmp_path):
+    from tracesift.operators.sinks import deliver
+
+    rows = [("ok", 0, 0, 0, 1), ("ok", 0, 0, 0, 2), ("busy", 0, 0, 0, 3), ("down", 0, 0, 0, 4), ("slow", 0, 0, 0, 5), ("ok", 0, 0, None, 6), ("short", 0, 0, 0, 7), ("short", 0, 0, 0, 8)]
+    df = spark.createDataFrame(rows, "destination string, slot long, batch long, part int, id long")
+    tried = str(tmp_path)
+
+    def send(pdf):
+        import os
+
+        name = pdf["destination"].iloc[0]
+        again = os.path.exists(f"{tried}/{name}")
+        open(f"{tried}/{name}", "w").close()
+        if name == "busy" and not again:
+            return 429, None, 0.0
+        if name == "down":
+            return 503, None, 120.0
+        if name == "slow" and not again:
+            raise TimeoutError
+        return 200, [202] * (1 if name == "short" else len(pdf)), None
+
+    assert {r.id: r.status for r in deliver(df, send, lambda s: None).collect()} == {1: 202, 2: 202, 3: 202, 4: 503, 5: 202, 6: 400, 7: 202, 8: 500}

@@ -235,9 +235,11 @@ def decide(traces: DataFrame, s, salt: str = "dynamic") -> DataFrame:
     out = at.join(table, ["state", "key", "interval"], "left")
     rate = F.coalesce("rate", F.lit(unseen))
     if isinstance(s, EmaThroughput):
-        first = F.min("interval").over(Window.partitionBy("state"))
-        rate = F.when(F.col("interval") == first, F.lit(s.initial)).otherwise(rate)
-    out = out.withColumn("rate", rate.cast("long")).drop("interval")
+        # a row a state, joined instead of a window over all of a state's traces
+        starts = at.groupBy("state").agg(F.min("interval").alias("_start"))
+        out = out.join(starts, "state")
+        rate = F.when(F.col("interval") == F.col("_start"), F.lit(s.initial)).otherwise(rate)
+    out = out.withColumn("rate", rate.cast("long")).drop("interval", "_start")
     return out.withColumn("keep", keep_one_in(F.col("trace_id"), F.col("rate"), salt)).withColumn("sampler_reason", F.lit(s.name))
 
 
