@@ -192,6 +192,7 @@ def classes(embeddings: DataFrame, limit: float = 0.9, passes: int = PASSES, nei
 
     part = member.select("grp", "unit").mapInArrow(sums, "grp long, s array<double>")
     mean = part.select("grp", F.posexplode("s").alias("i", "x")).groupBy("grp", "i").agg(F.sum("x").alias("x")).groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    mean = cut(mean)  # stored, so that Spark can split a large component's partition of the join below
     near = math.cos(math.acos(limit) / 2) + 1e-9
 
     @frugal
