@@ -255,7 +255,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = 20_000) -> DataFrame:
     """``pieces`` (with a column ``length`` from 1 to ``capacity``) plus sequence_id and offset, gapless from 0.
 
     ``pieces`` should be a stored table, as it is read twice. Equal rows get places of their own; an empty table gives
