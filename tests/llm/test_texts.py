@@ -278,8 +278,8 @@ def test_language(spark, edge, empty):
     assert langid.learn(empty, empty.doc_id > 0) is None and langid.predict(edge, None).first().lang_pred == "und"
     # pooled sums are those of the labels at every position
     labeller = langid.Labeller(model)
-    logp, _ = labeller.pool([rows[0][1], "die " + "x" * 70])
-    assert np.allclose(logp[1], labeller.labels("die " + "x" * 70).mean(0), atol=1e-4)
+    pooled, _ = labeller.pool([rows[0][1], "die " + "x" * 70])
+    assert np.allclose(pooled[1], np.exp(labeller.labels("die " + "x" * 70)).mean(0), atol=1e-4)
 
 
 def test_language_gradients():

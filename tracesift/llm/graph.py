@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracesift.llm.scratch import cut
 
 #: With more edges than that each step's parts are stored; with fewer that would only take time.
-STORED_EDGES = 10_000
+STORED_EDGES = 5_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:

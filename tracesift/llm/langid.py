@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
 The network reads each word (white-space delimited, at most ``SPAN`` bytes at a time, folded to lower case)
-from both ends and labels every byte's position; a document pools the log probabilities of all its positions. State starts
+from both ends and labels every byte's position; a document pools the probabilities of all its positions. State starts
 anew at each word, so a word's labels depend on its bytes alone and are worked out once for each distinct word of a task.
 Training is backpropagation through time with Adam on the mean position loss.
 """
@@ -139,7 +139,7 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Labeller:
-    """Sums of log probabilities by word, each distinct word worked out once."""
+    """Sums of positions' probabilities by word, each distinct word worked out once."""
 
     def __init__(self, model: Model):
         self.model, self.at, self.sums = model, {}, np.zeros((0, len(model.languages) + 2), np.float64)
@@ -165,14 +165,14 @@ class Labeller:
             part = order[i : i + 8192]
             x, size = padded([spans[j] for j in part])
             logp, rest = self.model.positions(x, size)
-            np.add.at(sums, np.array(owner)[part], np.concatenate([np.einsum("trl,tr->rl", logp, rest[0]), size[:, None], np.zeros((len(part), 1))], 1))
+            np.add.at(sums, np.array(owner)[part], np.concatenate([np.einsum("trl,tr->rl", np.exp(logp), rest[0]), size[:, None], np.zeros((len(part), 1))], 1))
         sums[:, -1] = [any(c.isalpha() for c in w.decode()) for w in new]
         for w in new:
             self.at[w] = len(self.at)
         self.sums = np.concatenate([self.sums, sums])
 
     def pool(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log probabilities over all positions, and whether there is a letter, for each text."""
+        """Mean probabilities over all positions, and whether there is a letter, for each text."""
         if len(self.at) > WORDS_KEPT:
             self.at, self.sums = {}, self.sums[:0]
         split = [t.lower().encode().split() for t in texts]
@@ -221,10 +221,10 @@ def learn(docs: DataFrame, train) -> Model | None:
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, sharpness: float = 4.0) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row's whole text; ``und`` with score 0 for null texts and those without a letter.
 
-    Only doc_id and text are read. ``sharpness``: the factor on pooled mean log probabilities before they are normalised."""
+    The score is the predicted language's share of the positions' probabilities. Only doc_id and text are read."""
     kind = dict(docs.dtypes)["doc_id"]
 
     @frugal
@@ -237,12 +237,10 @@ def predict(docs: DataFrame, model: Model | None, sharpness: float = 4.0) -> Dat
                 if weight > 1 << 21 or i + 1 == len(texts):
                     own = texts[at : i + 1]
                     if labeller:
-                        logp, known = labeller.pool(own)
-                        p = np.exp(sharpness * (logp - logp.max(1, keepdims=True)))
-                        p /= p.sum(1, keepdims=True)
+                        p, known = labeller.pool(own)
                         best = p.argmax(1)
                         lang = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                        score = np.where(known, p[np.arange(len(own)), best], 0.0)
+                        score = np.where(known, np.minimum(p[np.arange(len(own)), best], 1.0), 0.0)
                     else:
                         lang, score = ["und"] * len(own), np.zeros(len(own))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, i + 1 - at), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
