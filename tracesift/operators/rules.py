@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracesift.functions import values as V
-from tracesift.operators.conditions import DESCENDANTS, ROOT, Condition, Field, compile_test, evaluate
+from tracesift.operators.conditions import DESCENDANTS, ROOT, Condition, Field, evaluate
 from tracesift.sources.spans import Spans
 
 
@@ -112,7 +112,7 @@ def matches(spans: Spans, rules: RuleSet, extra: list[Column] = ()) -> DataFrame
             found.append(F.bool_or(every).alias(f"r{i}"))
         else:
             found += [F.bool_or(t).alias(f"c{i}_{j}") for j, t in own.items()]
-    traces = df.groupBy("trace_id").agg(F.count("*").alias("n_descendants"), F.bool_or("is_root").alias("has_root"), root_of(spans, carried).alias("root"), *found, *extra)
+    traces = df.groupBy("trace_id").agg(F.count("*").alias("n_descendants"), F.coalesce(F.bool_or("is_root"), F.lit(False)).alias("has_root"), root_of(spans, carried).alias("root"), *found, *extra)
     rule = F.lit(None).cast("int")
     for i in reversed(range(len(rules.rules))):
         r = rules.rules[i]
@@ -129,6 +129,3 @@ def matches(spans: Spans, rules: RuleSet, extra: list[Column] = ()) -> DataFrame
         rule = F.when(hit, F.lit(i)).otherwise(rule)
     traces = traces.withColumn("rule", rule)
     return traces.drop(*[f"r{i}" for i in range(len(rules.rules))], *[f"c{i}_{j}" for i, j in early])
-
-
-__all__ = ["Rule", "RuleSet", "compile_test", "matches", "root_of"]

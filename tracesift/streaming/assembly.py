@@ -23,10 +23,11 @@ MEMORY_MS = 24 * 3600 * 1000
 
 
 class Assembler(StatefulProcessor):
-    """State by trace: its open records, its due time, and after sending a mark with a time to live.
+    """State by trace: its open records, and its due time, count, root flag and whether it was sent.
 
     Records carry ``at_ms``, their arrival. In a replay these are the clock and the watermark drives the timers; else the
-    cluster's time does both. Columns: trace_id, is_root, at_ms and any others."""
+    cluster's time does both. Columns: trace_id, is_root, at_ms and any others. State is read once and written once a call,
+    as each access is a message to the executor's JVM. A sent trace is remembered for ``memory_ms`` and then forgotten by a timer."""
 
     def __init__(self, schema: StructType, timing: T.Timing, replay: bool, memory_ms: int = MEMORY_MS):
         self.schema, self.timing, self.replay, self.memory_ms = schema, timing, replay, memory_ms
@@ -35,59 +36,71 @@ class Assembler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getListState("open", self.schema)
-        self.due = handle.getValueState("due", StructType([StructField("send_by", LongType()), StructField("n", LongType()), StructField("has_root", BooleanType())]))
-        mark = StructType([StructField("send_by", LongType())])
-        # a time to live goes by the cluster's time; in a replay a timer does the forgetting
-        self.sent = handle.getValueState("sent", mark) if self.replay else handle.getValueState("sent", mark, self.memory_ms)
+        self.status = handle.getValueState("status", StructType([StructField("send_by", LongType()), StructField("n", LongType()), StructField("has_root", BooleanType()), StructField("sent", BooleanType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        if not self.replay:
-            pdf["at_ms"] = timerValues.getCurrentProcessingTimeInMs()
-        out = []
-        for r in pdf.sort_values("at_ms", kind="stable")[self.names].itertuples(index=False, name=None):
-            at, root = int(r[self.names.index("at_ms")]), bool(r[self.names.index("is_root")])
-            if self.sent.exists():
-                out.append(self._rows([r], self.sent.get()[0], T.LATE, True))
+        now = None if self.replay else timerValues.getCurrentProcessingTimeInMs()
+        at_, root_ = self.names.index("at_ms"), self.names.index("is_root")
+        new = [r for pdf in rows for r in zip(*[pdf[c].tolist() for c in self.names], strict=True)]
+        if now is not None:
+            new = [(*r[:at_], now, *r[at_ + 1 :]) for r in new]
+        before = self.status.get()
+        timer = before[0] if before is not None and not before[3] else None  # of an open trace
+        send_by, n, has_root, sent = before if before is not None else (None, 0, False, False)
+        fresh: list[tuple] = []
+        out: list[tuple] = []
+        for r in sorted(new, key=lambda r: r[at_]):
+            at = int(r[at_])
+            if not sent and send_by is not None and at > send_by:
+                held = [tuple(x) for x in self.open.get()] if timer is not None else []
+                out += self._marked(held + fresh, send_by, self._reason(n, has_root))
+                fresh, sent = [], True
+            if sent:
+                out.append((*r, send_by, T.LATE, True))
                 continue
-            due = self.due.get() if self.due.exists() else None
-            if due is not None and at > due[0]:
-                out.append(self._send())
-                out.append(self._rows([r], due[0], T.LATE, True))
-                continue
-            send_by, n, has_root = due if due is not None else (at + 1000 * self.timing.timeout(), 0, False)
+            send_by = at + 1000 * self.timing.timeout() if send_by is None else send_by
             n += 1
-            if root:
+            if r[root_]:
                 send_by, has_root = min(send_by, at + 1000 * self.timing.delay()), True
             if self.timing.limit and n > self.timing.limit:
                 send_by = min(send_by, at)
-            self.open.appendValue(r)
-            self.due.update((send_by, n, has_root))
-            if due is None or due[0] != send_by:
-                if due is not None:
-                    self.handle.deleteTimer(due[0])
-                self.handle.registerTimer(send_by)
-        yield from (o for o in out if len(o))
+            fresh.append(r)
+        if before is None or not before[3]:
+            due = send_by + self.memory_ms if sent else send_by
+            if timer is not None and timer != due:
+                self.handle.deleteTimer(timer)
+            if timer != due:
+                self.handle.registerTimer(due)
+            if sent and timer is not None:
+                self.open.clear()
+            elif fresh:
+                self.open.appendList(fresh)
+            self.status.update((send_by, n, has_root, sent))
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.due.exists():
-            yield self._send()
-        elif self.replay and self.sent.exists():
-            self.sent.clear()
-
-    def _send(self) -> pd.DataFrame:
-        send_by, n, has_root = self.due.get()
-        reason = T.GOT_ROOT if has_root else T.LIMIT if self.timing.limit and n > self.timing.limit else T.EXPIRED
-        out = self._rows([tuple(r) for r in self.open.get()], send_by, reason, False)
+        status = self.status.get()
+        if status is None:
+            return
+        send_by, n, has_root, sent = status
+        if sent:
+            self.status.clear()
+            return
+        out = self._marked([tuple(r) for r in self.open.get()], send_by, self._reason(n, has_root))
         self.open.clear()
-        self.due.clear()
-        self.sent.update((send_by,))
-        if self.replay:
-            self.handle.registerTimer(send_by + self.memory_ms)
-        return out
-
-    def _rows(self, rows: list, send_by: int, reason: str, late: bool) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.names).assign(send_by_ms=send_by, send_reason=reason, late=late)
+        self.status.update((send_by, n, has_root, True))
+        self.handle.registerTimer(send_by + self.memory_ms)
+        yield self._frame(out)
+
+    def _reason(self, n: int, has_root: bool) -> str:
+        return T.GOT_ROOT if has_root else T.LIMIT if self.timing.limit and n > self.timing.limit else T.EXPIRED
+
+    def _marked(self, rows: list[tuple], send_by: int, reason: str) -> list[tuple]:
+        return [(*r, send_by, reason, False) for r in rows]
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.names, *(f.name for f in ADDED)])
 
     def close(self) -> None:
         pass
