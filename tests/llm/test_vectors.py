@@ -75,3 +75,41 @@ def test_url_filter(spark):
     assert {r.page_id: r.entry for r in got} == {1: "bad.org", 2: None, 3: None, 4: "bad.org", 5: None, 6: "a.ok.org/x", 7: "ok.org/x/y", 8: None, 9: None, 10: None, 11: None, 12: None}
     assert not any(r.blocked for r in urlfilter.evaluate(c, e.where("false")).collect())
     assert urlfilter.evaluate(c.where("false"), e).count() == 0
+
+
+def _planted(rng, n, pairs, dims=64, cosine=0.9005):
+    """``n`` random vectors; row 2k and 2k + 1 of the first ``pairs`` have about that cosine."""
+    x = rng.normal(size=(n, dims))
+    a, b = x[0 : 2 * pairs : 2], x[1 : 2 * pairs : 2]
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x[1 : 2 * pairs : 2] = cosine * a + np.sqrt(1 - cosine**2) * b
+    return x.astype(np.float32)
+
+
+def _frame_of(spark, x, copies=1):
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    df = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return df.select((F.col("vec_id") * copies + F.col("k")).alias("vec_id"), "embedding")
+
+
+def test_embedding_copies_hide_no_link(spark):
+    copies, pairs = 40, 150
+    df = _frame_of(spark, _planted(np.random.default_rng(7), 1000, pairs), copies)
+    got = {r.vec_id: r for r in embedding.classes(df).collect()}
+    want = {i: i // copies // 2 * 2 * copies if i < 2 * pairs * copies else i // copies * copies for i in got}
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(r.n_links == (2 * copies if i < 2 * pairs * copies else copies) - 1 for i, r in got.items())
+
+
+def test_embedding_passes_follow_the_number_of_vectors(spark):
+    for n in (100, 50_000, 10**7, 10**9):
+        passes, bits = embedding.plan(n, 0.9)
+        assert (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** passes <= embedding.MISS
+    pairs = 400
+    assert embedding.plan(40_000, 0.9)[1] > 0
+    linked = {(min(r), max(r)) for r in embedding.links(embedding.units(_frame_of(spark, _planted(np.random.default_rng(8), 40_000, pairs))), 0.9, block_rows=900).collect()}
+    assert linked == {(2 * k, 2 * k + 1) for k in range(pairs)}

@@ -1,9 +1,11 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass hashes a vector to the signs of 64 random projections and sorts all vectors by that word; neighbours in a
-bounded window are compared by exact cosine and linked. Passes use different projections; the union of their verified
-links gives the components. Within a component all direct links are then counted: members close to the
-component's mean are linked with each other by the triangle inequality, and the few others meet the members in blocks.
+Each pass sorts the distinct vectors by the signs of random projections; the vectors of a run of equal signs are all
+compared by exact cosine and linked, however long the run is. The number of signs follows from the number of vectors, the
+number of passes from the signs: a pair exactly at the limit shares no run with a chance of MISS at most. Passes use
+different projections; the union of their verified links gives the components. Within a component all direct links are
+then counted: members close to the component's mean are linked with each other by the triangle inequality, and the few
+others meet the members in blocks. Copies of a vector are compared once and counted each.
 """
 
 from __future__ import annotations
@@ -16,15 +18,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracesift.llm.blocks import pair_blocks
 from tracesift.llm.graph import components
 from tracesift.llm.scratch import cut, frugal
 from tracesift.llm.topk import usable
 
-PASSES = 16
-NEIGHBOURS = 24
+#: A pair exactly at the limit is compared in no pass with this chance at most.
+MISS = 1e-4
+#: So many comparisons take about the time that carrying a row through a pass takes.
+ROW_COST = 1024
 BLOCK_ROWS = 2048
+PIVOTS = 16
 
 
 def _unit(column: pa.Array, dims: int) -> np.ndarray:
@@ -52,8 +58,23 @@ def units(embeddings: DataFrame) -> DataFrame:
     return clean.mapInArrow(run, "vec_id long, dims int, unit binary")
 
 
-def hashed(vectors: DataFrame, passes: int) -> DataFrame:
-    """dims, pass, key, vec_id, unit: a row for each vector and pass; keys sort as their 64 sign bits."""
+def plan(rows: int, limit: float, miss: float = MISS) -> tuple[int, int]:
+    """Passes and signs a pass for so many distinct vectors: the cheapest of those that keep ``miss`` at ``limit``.
+
+    One random projection has equal signs for a pair of cosine c with a chance of 1 - acos(c) / pi, whatever the other vectors are.
+    With no signs all vectors are one run and one pass compares every pair."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, limit))) / math.pi
+
+    def passes(bits: int) -> int:
+        chance = agree**bits
+        return 1 if chance >= 1 else math.ceil(math.log(miss) / math.log1p(-chance))
+
+    bits = min((b for b in range(63) if agree**b > 1e-9), key=lambda b: passes(b) * (1 + rows / 2**b / ROW_COST))
+    return passes(bits), bits
+
+
+def hashed(vectors: DataFrame, passes: int, bits: int) -> DataFrame:
+    """vec_id, dims, unit, and ``keys``: the vector's ``bits`` signs in each pass as one number."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,114 +85,98 @@ def hashed(vectors: DataFrame, passes: int) -> DataFrame:
                 part = batch.filter(pa.array(all_dims == dims))
                 dims = int(dims)
                 if dims not in planes:
-                    planes[dims] = np.random.default_rng([97, dims]).normal(size=(dims, passes * 64))
-                bits = _unit(part.column(2), dims) @ planes[dims] > 0
-                keys = np.packbits(bits.reshape(-1, passes, 64), 2).view(">u8").astype(np.uint64)[:, :, 0]
-                keys = (keys ^ np.uint64(1 << 63)).view(np.int64)
-                for k in range(passes):
-                    yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys[:, k]), part.column(0), part.column(2)], names=["dims", "pass", "key", "vec_id", "unit"])
+                    planes[dims] = np.random.default_rng([97, dims]).normal(size=(dims, passes * bits))
+                signs = _unit(part.column(2), dims) @ planes[dims] > 0
+                keys = signs.reshape(len(signs), passes, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * passes, pa.int32()), pa.array(keys.reshape(-1).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["vec_id", "dims", "unit", "keys"])
 
-    return vectors.select("vec_id", "dims", "unit").mapInArrow(run, "dims int, pass int, key long, vec_id long, unit binary")
+    return vectors.select("vec_id", "dims", "unit").mapInArrow(run, "vec_id long, dims int, unit binary, keys array<long>")
 
 
-def _window_links(ids: np.ndarray, x: np.ndarray, first: int, width: int, limit: float) -> set[tuple[int, int]]:
-    """Links of rows from ``first`` on with up to ``width`` rows before them. Of those that earlier neighbours already
-    connect, one is enough for the components."""
+def _spanning(ids: np.ndarray, x: np.ndarray, labels: np.ndarray, limit: float, n_left: int | None = None) -> list[np.ndarray]:
+    """Links that connect what ``labels`` has apart, of all pairs or, with ``n_left``, of pairs of one of the first rows and a later one."""
+    _, root = np.unique(labels, return_inverse=True)
     out: list[np.ndarray] = []
-    root = np.arange(len(ids))
-    for d in range(1, min(width, len(ids) - 1) + 1):
-        lo = max(first, d)
-        at = np.arange(lo, len(ids))
-        if not len(at):
-            break
-        hit = at[np.einsum("ij,ij->i", x[at], x[at - d]) >= limit]
-        hit = hit[root[hit] != root[hit - d]]
-        if len(hit):
-            out.append(np.stack([ids[hit], ids[hit - d]], 1))
-            for a, b in zip(root[hit], root[hit - d], strict=True):
-                a, b = _top(root, a), _top(root, b)
-                root[max(a, b)] = min(a, b)
-            while (root[root] != root).any():
-                root = root[root]
-    return {tuple(p) for p in np.concatenate(out).tolist()} if out else set()
-
-
-def _top(root: np.ndarray, a: int) -> int:
-    while root[a] != a:
-        a = root[a]
-    return a
-
-
-def links(vectors: DataFrame, limit: float, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Verified links (a, b) between neighbours in any pass, enough of them to connect all that windows connect."""
-    order = ["dims", "pass", "key", "vec_id"]
-    rows = hashed(vectors, passes)
-    ranged = rows.repartitionByRange(max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), *order).sortWithinPartitions(*order)
-    schema = "a long, b long, place int, side int, i int, dims int, pass int, vec_id long, unit binary"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def compare(dims: np.ndarray, passed: np.ndarray, ids: np.ndarray, units_: list, first: int) -> set[tuple[int, int]]:
-        out: set[tuple[int, int]] = set()
-        edge = np.concatenate([[0], np.flatnonzero((np.diff(dims) != 0) | (np.diff(passed) != 0)) + 1, [len(ids)]])
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if b > first and b - a > 1:
-                x = np.frombuffer(b"".join(units_[a:b]), np.float64).reshape(b - a, -1)
-                out |= _window_links(ids[a:b], x, max(0, first - a), neighbours, limit)
-        return out
+    for i in range(0, len(ids) if n_left is None else n_left, 256):
+        last = min(i + 256, len(ids) if n_left is None else n_left)
+        start = i if n_left is None else n_left
+        near = x[i:last] @ x[start:].T >= limit
+        if n_left is None:
+            np.fill_diagonal(near, False)
+        for p in np.flatnonzero(near.any(1)):
+            at = start + np.flatnonzero(near[p])
+            at = at[root[at] != root[i + p]]
+            if len(at):
+                joined, first = np.unique(root[at], return_index=True)
+                out.append(np.stack([np.full(len(joined), ids[i + p]), ids[at[first]]], 1))
+                gone = np.zeros(root.max() + 1, bool)
+                gone[joined] = True
+                root[gone[root]] = root[i + p]
+    return out
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+
+
+def _frame(found: list[np.ndarray]) -> pd.DataFrame:
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+
+
+def links(vectors: DataFrame, limit: float, miss: float = MISS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Verified links (a, b) of vectors that share a run in any pass, enough of them to connect all that runs connect.
+
+    Runs don't depend on partitions. One longer than a block is split: each block is solved with the run's shared pivots
+    first, then what remains outside the run's largest component meets the whole run."""
+    signed = cut(hashed(vectors, *plan(vectors.count(), limit, miss)))
+    run, keys = ["dims", "pass", "key"], F.posexplode("keys").alias("pass", "key")
+    long_runs = signed.select("dims", keys).groupBy(*run).agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
+    long_runs = cut(long_runs.select(*run, F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("blocks"), F.monotonically_increasing_id().alias("grp")))
+    rows, columns = signed.select("vec_id", "dims", keys, "unit"), ["vec_id", "dims", "pass", "key", "block", "unit"]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("vec_id").sort_values("vec_id")
+        ids = pdf["vec_id"].to_numpy()
+        return _frame(_spanning(ids, _matrix(pdf["unit"]), ids, limit) if len(ids) > 1 else [])
+
+    if long_runs.isEmpty():
+        return rows.groupBy(*run).applyInPandas(solve, "a long, b long").distinct()
+    large = rows.join(long_runs, run)
+    pivots = large.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("vec_id"), "vec_id"))).where(f"k <= {PIVOTS}")
+    spread = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = rows.join(long_runs, run, "left").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.coalesce("blocks", F.lit(1))).cast("int"))
+    edges = cut(split.select(*columns).union(spread.select(*columns)).groupBy(*run, "block").applyInPandas(solve, "a long, b long").distinct())
+    label = cut(components(edges)).withColumnRenamed("id", "_i")
+    large = cut(large.join(label, F.expr("vec_id = _i"), "left").select("vec_id", "grp", "unit", F.coalesce("component", "vec_id").alias("label")))
+    counts = large.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    best = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n_all"))
+    rest = counts.join(best, "grp").where("label <> main").groupBy("grp").agg(F.sum("n").alias("n_left"))
+    info = cut(best.join(rest, "grp").select("grp", "main", *[F.ceil(F.col(c) / F.lit(block_rows)).cast("int").alias(n) for c, n in (("n_left", "lb"), ("n_all", "rb"))]))
+    both = large.join(info, "grp")
+    a, b = pair_blocks(both.where("label <> main"), both, "grp", "vec_id", "lb", "rb")
 
-    @frugal
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return _frame([])
+        pdf = pd.concat([x, y], ignore_index=True)
+        return _frame(_spanning(pdf["vec_id"].to_numpy(), _matrix(pdf["unit"]), pdf["label"].to_numpy(), limit, len(x)))
 
-        place = TaskContext.get().partitionId()
-        carry, head, sent = None, None, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
-                now = [np.asarray(part.column(0)), np.asarray(part.column(1)), np.asarray(part.column(3), np.int64), part.column(4).to_pylist()]
-                first = 0
-                if carry is not None:
-                    first = len(carry[2])
-                    now = [np.concatenate([c, n]) for c, n in zip(carry[:3], now[:3], strict=True)] + [carry[3] + now[3]]
-                found = np.array(sorted(compare(*now, first)), np.int64).reshape(-1, 2)
-                if len(found):
-                    yield full(a=found[:, 0], b=found[:, 1], n=len(found))
-                if sent < neighbours:
-                    head = tuple(c[first : first + neighbours - sent] for c in now)
-                    sent += len(head[2])
-                    yield edges(head, place, 1)
-                carry = [c[-neighbours:] for c in now]
-        if carry is not None:
-            yield edges(carry, place + 1, 0)
-
-    def edges(rows_, place: int, side: int) -> pa.RecordBatch:
-        n = len(rows_[2])
-        return full(place=np.full(n, place), side=np.full(n, side), i=np.arange(n), dims=rows_[0], passed=rows_[1], vec_id=rows_[2], unit=rows_[3], n=n)
-
-    def full(n: int, a=None, b=None, place=None, side=None, i=None, dims=None, passed=None, vec_id=None, unit=None) -> pa.RecordBatch:
-        given = zip((a, b, place, side, i, dims, passed, vec_id, unit), (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.binary()), strict=True)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if v is None else pa.array(v, t) for v, t in given], names=names)
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "pass", "i"], kind="stable")
-        first = int((pdf["side"] == 0).sum())
-        found = sorted(compare(pdf["dims"].to_numpy(), pdf["pass"].to_numpy(), pdf["vec_id"].to_numpy(), pdf["unit"].tolist(), first)) if 0 < first < len(pdf) else []
-        return pd.DataFrame({"a": np.array([f[0] for f in found], np.int64), "b": np.array([f[1] for f in found], np.int64)})
-
-    found = cut(ranged.mapInArrow(inside, schema))
-    seams = found.where("a IS NULL").groupBy("place").applyInPandas(across, "a long, b long")
-    return found.where("a IS NOT NULL").select("a", "b").union(seams).distinct()
-
-
-def classes(embeddings: DataFrame, limit: float = 0.9, passes: int = PASSES, neighbours: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return edges.union(a.cogroup(b).applyInPandas(meet, "a long, b long")).distinct()
+
+
+def classes(embeddings: DataFrame, limit: float = 0.9, miss: float = MISS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``embeddings`` (integer vec_id, embedding).
 
     Links have a cosine of at least ``limit`` in double precision. Vectors that are null, zero, or hold null or
     non-finite components, and rows with a null vec_id, link with nothing. Vectors of different lengths are never linked.
     Rows of one vec_id count as one vector, the smallest of them. Other columns are not read."""
     vectors = cut(units(embeddings))
-    label = cut(components(links(vectors, limit, passes, neighbours)))
-    member = cut(vectors.join(label.withColumnRenamed("id", "_id"), F.expr("vec_id = _id")).select("vec_id", F.col("component").alias("grp"), "unit"))
+    distinct = cut(vectors.groupBy("dims", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+    label = cut(components(links(distinct, limit, miss, block_rows)))
+    member = distinct.join(label.withColumnRenamed("id", "_id"), F.expr("vec_id = _id"), "left").where("copies > 1 OR component IS NOT NULL")
+    member = cut(member.select("vec_id", F.coalesce("component", "vec_id").alias("grp"), "unit", "copies"))
 
     # the components' means, summed by task first
     @frugal
@@ -203,10 +208,10 @@ def classes(embeddings: DataFrame, limit: float = 0.9, passes: int = PASSES, nei
                 m = np.array(m)
                 n = math.sqrt(float(m @ m))
                 core.append(n > 0 and float(np.frombuffer(u, np.float64) @ m) / n >= near)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(core, pa.bool_())], names=["vec_id", "grp", "unit", "core"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(core, pa.bool_())], names=["vec_id", "grp", "unit", "copies", "core"])
 
-    marked = cut(member.join(mean, "grp").select("vec_id", "grp", "unit", "mean").mapInArrow(mark, "vec_id long, grp long, unit binary, core boolean"))
-    info = marked.groupBy("grp").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_far"), F.count("*").alias("n_all"))
+    marked = cut(member.join(mean, "grp").select("vec_id", "grp", "unit", "mean", "copies").mapInArrow(mark, "vec_id long, grp long, unit binary, copies long, core boolean"))
+    info = marked.groupBy("grp").agg(F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("n_core"), F.count_if(~F.col("core")).alias("n_far"), F.count("*").alias("n_all"))
     info = info.select("grp", "n_core", *[F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(block_rows))).cast("int").alias(n) for c, n in (("n_far", "lb"), ("n_all", "rb"))], "n_far")
     both = marked.join(info.where("n_far > 0").select("grp", "lb", "rb"), "grp")
     a, b = pair_blocks(both.where("NOT core"), both, "grp", "vec_id", "lb", "rb")
@@ -214,16 +219,17 @@ def classes(embeddings: DataFrame, limit: float = 0.9, passes: int = PASSES, nei
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = {"vec_id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
         if len(x) and len(y):
-            left, right = (np.frombuffer(b"".join(z["unit"]), np.float64).reshape(len(z), -1) for z in (x, y))
+            left, right = _matrix(x["unit"]), _matrix(y["unit"])
             ids, others = x["vec_id"].to_numpy(), y["vec_id"].to_numpy()
             hit = (left @ right.T >= limit) & (ids[:, None] != others)
             core = y["core"].to_numpy(bool)
-            out = {"vec_id": np.concatenate([ids, others[core]]), "n": np.concatenate([hit.sum(1), hit[:, core].sum(0)])}
+            out = {"vec_id": np.concatenate([ids, others[core]]), "n": np.concatenate([hit @ y["copies"].to_numpy(np.int64), x["copies"].to_numpy(np.int64) @ hit[:, core]])}
         return pd.DataFrame(out)
 
     extra = a.cogroup(b).applyInPandas(meet, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("extra")).withColumnRenamed("vec_id", "_v")
-    counted = marked.select("vec_id", "grp", "core").join(info.select("grp", "n_core"), "grp").join(extra, F.expr("vec_id = _v"), "left")
-    counted = counted.select(F.col("vec_id").alias("_v"), "grp", (F.when(F.col("core"), F.col("n_core") - 1).otherwise(0) + F.coalesce("extra", F.lit(0))).alias("n"))
+    counted = marked.select("vec_id", "grp", "unit", "copies", "core").join(info.select("grp", "n_core"), "grp").join(extra, F.expr("vec_id = _v"), "left")
+    counted = counted.select("unit", "grp", (F.when(F.col("core"), F.col("n_core")).otherwise(F.col("copies")) - 1 + F.coalesce("extra", F.lit(0))).alias("n"))
+    counted = vectors.join(counted, "unit").select(F.col("vec_id").alias("_v"), "grp", "n")
     out = embeddings.select("vec_id").join(counted, F.expr("vec_id = _v"), "left")
     own = F.coalesce("grp", F.col("vec_id").cast("long"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))
