@@ -113,3 +113,17 @@ def test_embedding_passes_follow_the_number_of_vectors(spark):
     assert embedding.plan(40_000, 0.9)[1] > 0
     linked = {(min(r), max(r)) for r in embedding.links(embedding.units(_frame_of(spark, _planted(np.random.default_rng(8), 40_000, pairs))), 0.9, block_rows=900).collect()}
     assert linked == {(2 * k, 2 * k + 1) for k in range(pairs)}
+
+
+def test_embedding_links_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(10, 24)), 10, 0) + rng.normal(size=(100, 24)) * 0.2
+    df = embedding.units(_vectors(spark, list(enumerate(x.tolist()))))
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({(min(r), max(r)) for r in embedding.links(df, 0.9).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
