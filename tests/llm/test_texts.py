@@ -1,6 +1,7 @@
 """Operators on texts against plain Python, on edge cases and invented corpora."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracesift.llm import langid, mixing, neardup, packing, secrets, substrings, textscan, toxicity
 from tracesift.llm.queries import tokenizer_path
@@ -335,3 +337,22 @@ def test_toxicity(spark, edge, empty):
     none = toxicity.learn(empty, labelled.where("false"), labelled.doc_id < 0)
     assert set(none.terms) == {k + " " for k in toxicity.PRIOR}
     assert toxicity.flagged(edge, none, 0.3, False).columns == edge.columns
+
+
+def test_toxicity_counts_are_whole(spark):
+    """A term's clean texts all count, however they fall into tasks, and texts that share a passage aren't one text."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("bcdfghjklmnp", k=9))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, f"{passage} " + " ".join([word() for _ in range(30)] + ["zorgle"] * (i < 8)), int(i < 5)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        terms = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"), F.lit(True)).terms
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {k: round(v, 9) for k, v in terms.items()} == {"zorg": round(math.log(5.5 / 6 / (3.5 / 116)), 9)}

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tracesift.llm.neardup import shingle_sets
 from tracesift.llm.scratch import cut, frugal
+from tracesift.llm.textscan import mix
 
 #: Letters that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -35,6 +36,8 @@ PRIOR = {"idiot": 4.0, "moron": 4.0, "stupid": 3.0, "worthless": 3.0, "pathetic"
 EXCEPTIONS = ("clown fish", "clownfish", "trash can", "trash bin", "trash bag", "white trash bag", "stupid question", "not stupid", "not an idiot", "not worthless", "sore loser law")
 
 SAMPLE_ROWS = 12_000
+#: Texts are compared as near copies where each of so many orders of their 5-word shingles has the same least one.
+MINIMA, COPY = 2, 0.8
 STEMS = range(4, 9)
 LEXICON_SIZE = 4096
 _MIXED = re.compile(r"[@$!|]{2,}|(?<![^\W\d_])[@$!|]+(?![^\W\d_])|[!|]+(?=\s|$)")
@@ -114,11 +117,18 @@ def _terms(folded: str) -> set[str]:
     return out
 
 
+def minima(shingles: np.ndarray) -> bytes:
+    """The least hash of a shingle set in each of MINIMA orders."""
+    return b"".join((shingles if k == 0 else mix(shingles + np.uint64(k))).min().tobytes() for k in range(MINIMA)) if len(shingles) else b""
+
+
 def learn(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits the lexicon and the score on labelled rows for which ``train`` (a condition on doc_id) holds.
 
-    At most ``sample_rows`` labelled rows, by hash order of their ids, are read (the one bound of the fit; repeated
-    texts, and most near copies of one text, count once: of those with one MinHash, one stays). Terms are counted on the executors; only each task's terms with toxic support come to the driver."""
+    At most ``sample_rows`` labelled rows, by hash order of their ids, are read (the one bound of the fit). Texts
+    of one shingle set count once, as toxic if any is; so do most near copies of one label: those whose MINIMA least
+    hashes are equal and whose sets have a Jaccard similarity of at least COPY.
+    Terms are counted on the executors; of the whole counts those with toxic support come to the driver."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
@@ -127,11 +137,30 @@ def learn(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_R
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in shingle_sets(batch.column(0), 5):
-                least = pa.array([int(s[0].view(np.int64)) if len(s) else 0 for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(sets)).columns, least], names=["text", "toxic", "h"])
+                least = pa.array([minima(s) for s in sets], pa.binary())
+                whole = pa.array([np.array([len(s), s.sum(), mix(s).sum()], np.uint64).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(sets)).columns, least, whole], names=["text", "toxic", "h", "whole"])
+
+    texts = texts.mapInArrow(sketch, "text string, toxic int, h binary, whole binary")
+    texts = texts.groupBy("whole").agg(F.max(F.struct("toxic", "text", "h")).alias("r")).select("r.*")
 
-    texts = texts.mapInArrow(sketch, "text string, toxic int, h long")
-    texts = cut(texts.groupBy("h").agg(F.max(F.struct("toxic", "text")).alias("r")).select("r.text", "r.toxic"))
+    @frugal
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, []
+        for batch in batches:
+            keys, stay = list(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)), []
+            for first, sets in shingle_sets(batch.column(0), 5):
+                for now, s in zip(keys[first : first + len(sets)], sets, strict=True):
+                    if now != key:
+                        key, kept = now, []
+                    both = [len(np.intersect1d(s, k, assume_unique=True)) for k in kept]
+                    stay.append(all(b < COPY * (len(s) + len(k) - b) for b, k in zip(both, kept, strict=True)))
+                    if stay[-1]:
+                        kept.append(s)
+            yield batch.filter(pa.array(stay, pa.bool_())).select(["text", "toxic"])
+
+    order = texts.select("text", "toxic", "h").repartition("toxic", "h").sortWithinPartitions("toxic", "h", F.desc("text"))
+    texts = cut(order.mapInArrow(alone, "text string, toxic int"))
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_R
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (toxic if y == 1 else clean).update(_terms(fold(text)))
                 n[y == 1] += 1
-        rows = [("", n[1], n[0]), *((t, toxic[t], clean[t]) for t in toxic.keys() | {t for t, c in clean.items() if c > 1})]
+        rows = [("", n[1], n[0]), *((t, toxic[t], clean[t]) for t in toxic.keys() | clean.keys())]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["term", "toxic", "clean"])
 
     counts = texts.coalesce(8).mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
