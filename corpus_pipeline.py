@@ -25,9 +25,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class (five words, 0.8), that of the smallest doc_id.
 
-    Documents without words stay: they are linked with nothing. Equal rows stay or go together but for exact repeats, of which one stays."""
+    Documents without words stay: they are linked with nothing. Of rows with one doc_id and one text (null or
+    not) one stays, that of the least other columns. Rows of a null doc_id belong to no class, and all stay."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id", F.xxhash64("text").alias("_h")).count().where("count > 1")
+    again = cut(again.select("doc_id").distinct())
     classes = neardup.classes(docs, width=5, num=80, den=100).where("NOT kept AND component_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r"))
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once.select("doc_id", "text", "_r.*").select(*docs.columns))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,12 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).count() > 0 and P.ORACLE_SQL is None
     assert [n for n, _ in P.STAGES] == ["toxicity", "minhash_neardup", "secret_scans", "source_mixing", "best_fit_packing"]
+
+
+def test_near_duplicates_keep_one_of_repeated_rows(spark):
+    text, other = "one two three four five six seven", "quite another text of eight words in all"
+    rows = [(3, text), (3, text), (4, text), (5, other), (5, other), (6, None), (6, None), (7, "short"), (None, text), (None, text), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, text), (5, other), (6, None), (7, "short"), (None, text), (None, text), (None, None)], key=str)
