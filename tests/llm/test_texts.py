@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracesift.llm import langid, mixing, neardup, packing, secrets, substrings, textscan, toxicity
-from tracesift.llm.queries import tokenizer_path
+from tracesift.llm.queries import QUERIES, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -263,7 +265,41 @@ def test_packing(spark, edge, empty):
         assert items[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(items, items[1:], strict=False)) and sum(items[-1]) <= 128
     assert packing.sequences(empty, tokenizer_path()).count() == 0
     assert {r.doc_id for r in packing.sequences(edge, tokenizer_path()).collect()} >= {3, 4, 5, 6, None}
-    assert zlib.crc32(b"") == 0
+
+
+def test_packing_query(spark, sf_dir):
+    """The query's own columns against direct encoding of every document."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    want, texts = {}, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    for r in texts:
+        ids = t.encode(r.text or "", add_special_tokens=False).ids + [1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            piece = ids[at : at + 4096]
+            want[r.doc_id, k] = (at, len(piece), zlib.crc32(struct.pack(f"<{len(piece)}I", *piece)))
+    got = QUERIES["op7_best_fit_packing"](spark, sf_dir).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for items in by.values():
+        items.sort()
+        assert items[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(items, items[1:], strict=False)) and sum(items[-1]) <= 4096
+
+
+def test_packing_ids_of_every_letter_before_every_sign():
+    """Also where the tokenizer's normaliser takes a letter apart."""
+    from tokenizers import Tokenizer
+
+    t, coder = Tokenizer.from_file(tokenizer_path()), packing._Encoder(tokenizer_path())
+    points = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    words = [c + s for c in points for s in packing.SIGNS]
+    for i in range(0, len(words), 200_000):
+        some = words[i : i + 200_000]
+        ids, n = coder.encode([w.encode() for w in some])
+        want = [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [x for y in want for x in y]
 
 
 def test_language(spark, edge, empty):

@@ -81,6 +81,7 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark_ids = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.split_marks = split_marks and self._parts(["a" + SIGNS, "a", SIGNS]) and self._parts(["é" + SIGNS, "é", SIGNS])
+        self.parting: dict[str, bool] = {}
         self.words, self.earlier, self.cores = _Store(), _Store(), _Store()
         vocab = self.tokenizer.get_vocab()
         closing = [i for t, i in vocab.items() if t.endswith("</w>")]
@@ -93,6 +94,17 @@ class _Encoder:
         whole, *parts = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
         return whole == [i for p in parts for i in p]
 
+    def _ends(self, core: bytes) -> bool:
+        """Whether a word ends in a character that the tokenizer reads as letters only, so that signs after it are a part of their own.
+
+        Its normaliser may take a letter apart into a letter and a mark, which would go with the signs."""
+        if core[-1] < 128:
+            return core[-1:].isalpha()
+        last = core.decode()[-1]
+        if last not in self.parting:
+            self.parting[last] = last.isalpha() and self._parts([last + SIGNS, last, SIGNS]) and self._parts(["a" + last + SIGNS, "a" + last, SIGNS])
+        return self.parting[last]
+
     def _ids(self, new: list[bytes]) -> None:
         """Encodes new entries of ``cores``."""
         odd = [w for w in new if len(self.mark_ids) != 1 or MARK.encode() in w]
@@ -125,7 +137,7 @@ class _Encoder:
         for w in new:
             core = w.rstrip(signs) if self.split_marks and b"<|" not in w else w
             # a letter before the signs, or they belong to what precedes
-            if core and len(core) < len(w) and (core[-1:].isalpha() or core[-1] > 127 and core.decode()[-1].isalpha()):
+            if core and len(core) < len(w) and self._ends(core):
                 parts += (core, w[len(core) :])
             else:
                 parts += (w, b"")
