@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracesift.llm.blocks import spread_join
 from tracesift.llm.scratch import cut
 
-#: With more edges than that each step's parts are stored; with fewer that would only take time.
-STORED_EDGES = 5_000_000
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: two integer columns ``a`` and ``b``, in any order, repeats and loops allowed.
 
-    Returns ``id, component`` for each id with an edge to another id; component is the smallest id reachable.
-    Each step is a minimum by node (combined before the shuffle) and an equi-join, so a hub's neighbours are
-    never gathered. The minima are stored first: the join then has plain exchanges on both sides, of which Spark splits a
-    hub's partition at run time, or needs none where the minima are few."""
-    now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    Returns ``id, component`` for each id with an edge to another id; component is the smallest id reachable. Edges
+    with a null end are ignored, and an empty table gives no rows. Each step is a minimum by node (combined before the shuffle) and an
+    equi-join that broadcasts the minima of hubs, so a hub's neighbours are never gathered, whatever the table's size."""
+    now = cut(edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b AND a IS NOT NULL AND b IS NOT NULL").distinct())
     mark = _mark(now)
-    while True:
-        store = cut if mark[0] > STORED_EDGES else (lambda df: df)
+    while mark[0]:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        low = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = store(both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct())
-        low = store(large.groupBy("b").agg(F.min("a").alias("m")))
-        small = large.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, low, ["u"], "n", 2 * mark[0]).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, ["b"], "n", 2 * mark[0]).where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         now = cut(small.union(low.select(F.col("m").alias("a"), "b")).distinct())
         before, mark = mark, _mark(now)
         if mark == before:

@@ -1,32 +1,34 @@
-"""Near-duplicate documents by HyperMinHash, with every link verified on full shingle sets.
+"""Near-duplicate documents by HyperMinHash, with every link verified on the documents' own words.
 
 1. A pass over the texts hashes word shingles and keeps, for each of 256 buckets, the least hash as a register of
    leading-zero count and mantissa bits. Empty registers borrow from a filled one in an order fixed by bucket.
-   Registers are hashed by bands, as long as the threshold allows. Only the band hashes, the set's size and its digest leave the pass.
-2. Documents of equal sets are one class. Classes that share a band are joined to the band's smallest class, and the
-   components of these star edges are the candidate groups: two sets of the asked similarity fall into one
-   group but with a chance of MISS (at the threshold; far less above).
-3. Within a group, every pair of classes not yet connected is compared: by size, by the registers' Jaccard
-   estimate less its expected collisions, then exactly. A group larger than a block is split: each block is
-   solved with the group's shared pivots first, then what remains outside the largest component meets all blocks.
+   Registers are hashed by bands, as long as the threshold allows. Only the band hashes, the set's size and its digest (128 bits of
+   two independent hash families) leave the pass.
+2. Documents of equal sets are one class. Two sets of the asked similarity share a band but with a chance of MISS (at the
+   threshold; far less above). The candidates of a band gather around its smallest class: a star group.
+3. Within a star group, every pair of classes not yet connected is compared: by size, by the registers' Jaccard
+   estimate less its expected collisions, then exactly: words are numbered by a dictionary, so equal shingles are equal words.
+   A group larger than a block is split, and each block is solved with the group's shared pivots. What that leaves
+   apart within a band meets in pairs of blocks, band by band.
 4. Components of the verified links give each document its class id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracesift.llm.blocks import pair_blocks
+from tracesift.llm.blocks import pair_blocks, spread_join
 from tracesift.llm.graph import components
 from tracesift.llm.scratch import cut, frugal
-from tracesift.llm.textscan import mix, runs, slices, words
+from tracesift.llm.textscan import mix, runs, sequence, slices, word_hashes, words
 
 BUCKETS, MANTISSA = 256, 10
 #: A pair at the threshold shares no band with this chance at most.
@@ -41,21 +43,47 @@ _ORDER = _rng.permuted(np.tile(np.arange(BUCKETS, dtype=np.uint16), (BUCKETS, 1)
 _SALT = _rng.integers(1, 1 << 62, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Runs of rows: the first row's index, and each row's sorted distinct shingle hashes."""
-    for first, last, body, offsets in slices(texts):
-        _, _, hashes, at = words(body, offsets, fold=True)
-        whole = runs(hashes, width)
-        sets = []
-        for i in range(last - first):
-            a, b = int(at[i]), int(at[i + 1])
-            if b - a >= width:
-                sets.append(np.unique(whole[a : b - width + 1]))
-            elif b > a:
-                sets.append(mix(np.cumsum(hashes[a:b] * _SALT[: b - a])[-1:] + np.uint64(b - a)))
-            else:
-                sets.append(np.zeros(0, np.uint64))
-        yield first, sets
+def shingle_sets(texts: pa.Array, width: int, family: int = 0) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Runs of rows: the first row's index, and each row's sorted distinct shingle hashes of a family."""
+    for first, _, body, offsets in slices(texts):
+        _, _, hashes, at = words(body, offsets, True, family)
+        yield first, _sets_of(hashes, at, width)
+
+
+def _sets_of(hashes: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    whole, sets = runs(hashes, width), []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= width:
+            sets.append(np.unique(whole[a : b - width + 1]))
+        else:
+            sets.append(np.array([sequence(hashes[a:b])] if b > a else [], np.uint64))
+    return sets
+
+
+def exact_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text as numbers that stand for the same words throughout ``texts``, and for no others."""
+    split = [t.encode().lower().split() for t in texts]  # bytes know ASCII white space and letters only
+    flat = list(chain.from_iterable(split))
+    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    word = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    keys, many = word, len(number)
+    for k in range(1, width):
+        if many * len(number) >= 1 << 62:  # number the runs so far, so that a longer one still fits
+            known, keys = np.unique(keys, return_inverse=True)
+            many = len(known)
+        n = max(0, len(word) - k)
+        keys, many = keys[:n] * len(number) + word[k:], many * len(number)
+    short: dict[tuple, int] = {}
+    out, at = [], 0
+    for ws in split:
+        n = len(ws)
+        if n >= width:
+            own = keys[at : at + n - width + 1]
+        else:
+            own = np.array([-1 - short.setdefault(tuple(ws), len(short))] if n else [], np.int64)
+        out.append(np.unique(mix(own.view(np.uint64))))  # the mixer is one to one
+        at += n
+    return out
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -112,38 +140,29 @@ def estimate(sketch: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarra
 
 
 def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (two longs) and band hashes of every row."""
+    """doc_id, text_hash, n_shingles, the set's digest (two longs) and band hashes of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, sets in shingle_sets(batch.column(1), width):
+            for first, last, body, offsets in slices(batch.column(2)):
+                begin, end, hashes, at = words(body, offsets, True)
+                sets = _sets_of(hashes, at, width)
+                other = _sets_of(word_hashes(body, begin, end, True, 1), at, width)
                 n = np.array([len(s) for s in sets], np.int64)
-                d = np.array([[s.sum(), mix(s).sum()] for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
+                d = np.array([[s.sum(), t.sum()] for s, t in zip(sets, other, strict=True)], np.uint64).view(np.int64).reshape(-1, 2)
                 bands = band_hashes(filled(registers(sets)), rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (BUCKETS // rows), pa.int32()), pa.array(bands.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), lists], names=["doc_id", "n_shingles", "d0", "d1", "bands"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, d0 long, d1 long, bands array<long>")
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), lists], names=["doc_id", "text_hash", "n_shingles", "d0", "d1", "bands"])
 
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, d0 long, d1 long, bands array<long>")
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text and others) with ``shingles`` (sorted 64-bit hashes as bytes) for the text."""
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for first, sets in shingle_sets(batch.column(at), width):
-                part = batch.slice(first, len(sets))
-                columns = [part.column(i) for i in range(part.num_columns) if i != at]
-                d = np.array([[s.sum(), mix(s).sum()] for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*(f.name for f in rest), "t0", "t1", "shingles"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.select(*[f.name for f in rest], "text").mapInArrow(run, f"{schema}, t0 long, t1 long, shingles binary")
+def text_hash() -> Column:
+    """Tells apart texts of one doc_id; a null text is the empty one."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
 
 
 class _Union:
@@ -205,68 +224,80 @@ def links(ids: np.ndarray, shingles: list[np.ndarray], labels: np.ndarray, num:
     return out
 
 
-def _sets(column: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint64) for b in column]
-
-
 def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array([p[0] for p in pairs], np.int64), "b": np.array([p[1] for p in pairs], np.int64)})
 
 
-def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (integer doc_id, text).
+def _links(reps: DataFrame, docs: DataFrame, width: int, num: int, den: int, block_shingles: int) -> DataFrame:
+    """Verified links (a, b: nodes of ``reps``), enough of them to connect all that bands bring together."""
+    banded = reps.select("node", "n_shingles", F.explode(F.array_distinct("bands")).alias("band"))
+    lowest = banded.groupBy("band").agg(F.min("node").alias("grp"), F.max("node").alias("high"), F.count("*").alias("n")).where("grp < high").select("band", "grp", "n")
+    n_bands = reps.count() * (BUCKETS // rows_a_band(num / den))
+    star = cut(spread_join(banded, lowest, ["band"], "n", n_bands).select("node", "n_shingles", "grp").distinct())
+    total = star.groupBy("grp").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1")
+    blocks = total.select("grp", "n", F.ceil(F.col("total") / F.lit(block_shingles)).cast("int").alias("blocks"))
+    member = cut(spread_join(star, blocks, ["grp"], "n", star.count()).drop("n"))
+    wide = member.where("blocks > 1")
+    pivots = wide.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("node"), "node"))).where(f"k <= {PIVOTS}")
+    place = member.select("node", "grp", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int").alias("block"))
+    place = place.union(pivots.select("node", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))).groupBy("node").agg(F.collect_set(F.struct("grp", "block")).alias("places"))
+    # one text of each node, however often it occurs
+    wanted = reps.select("node", "doc_id", "text_hash").join(place, "node").select("doc_id", "text_hash", "node", "places")
+    texts = docs.select("doc_id", text_hash(), "text").join(wanted, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash")
+    texts = cut(texts.agg(*[F.first(c).alias(c) for c in ("node", "text", "places")]).select("node", "text", "places"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["node"].to_numpy()
+        return _frame(links(ids, exact_sets(pdf["text"].tolist(), width), ids, num, den) if len(ids) > 1 else [])
+
+    edges = cut(texts.select("node", "text", F.explode("places").alias("p")).groupBy("p.grp", "p.block").applyInPandas(solve, "a long, b long"))
+    wide = cut(wide.groupBy("grp").agg(F.first("blocks").alias("blocks")))
+    if wide.isEmpty():
+        return edges
+    # what the blocks of a group have left apart meets band by band; bands of the same members are one
+    label = components(edges).toDF("node", "label")
+    within = lowest.join(wide.select("grp"), "grp").select("band", "n")
+    within = spread_join(banded, within, ["band"], "n", n_bands).drop("n").join(label, "node", "left").select("node", "n_shingles", "band", F.coalesce("label", "node").alias("label"))
+    within = cut(within)
+    counts = within.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
+    each = counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max(F.struct("n", "label", "size"))["size"].alias("main_size"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("mark").alias("mark"), F.count("*").alias("labels")).where("labels > 1")
+    each = each.groupBy("n", "mark").agg(F.min(F.struct("band", "main", "main_size", "size")).alias("r")).select("n", "r.*")
+    each = each.select("band", "n", "main", F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("main_size")) / F.lit(block_shingles))).cast("int").alias("lb"), F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(block_shingles))).cast("int").alias("rb"))
+    meeting = spread_join(within, each, ["band"], "n", n_bands).groupBy("node").agg(F.collect_list(F.struct("band", "label", "main", "lb", "rb")).alias("bands"))
+    both = cut(texts.select("node", "text").join(meeting, "node")).select("node", "text", F.explode("bands").alias("b")).select("node", "text", "b.*")
+    a, b = pair_blocks(both.where("label <> main"), both, "band", "node", "lb", "rb")
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return _frame([])
+        pdf = pd.concat([x, y], ignore_index=True)
+        left = np.arange(len(pdf)) < len(x)
+        return _frame(links(pdf["node"].to_numpy(), exact_sets(pdf["text"].tolist(), width), pdf["label"].to_numpy(), num, den, left))
+
+    return edges.union(cut(a.cogroup(b).applyInPandas(meet, "a long, b long")))
+
 
-    Sets are linked where den * intersection >= num * union; component_id is the smallest doc_id reachable. Words are
-    ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer than ``width`` words is one shingle; a null or
-    wordless text has none and is linked with nothing. Rows of a null doc_id get a null component. Rows with one doc_id and
-    different texts are classed by text. Other columns are not read."""
+def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept, first for every row of ``docs`` (integer doc_id, text).
+
+    Sets are linked where den * intersection >= num * union; component_id is the smallest doc_id reachable, and ``kept`` is whether
+    it is the row's own. Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer than ``width`` words is
+    one shingle; a null or wordless text has none and is linked with nothing. Rows of a null doc_id have a null component and
+    belong to no class. Rows with one doc_id and different texts are classed by text. ``first``: the row has the class's
+    least (doc_id, text_hash), as all of a class's rows that repeat it have; rows of no class are all first. An empty table gives
+    no rows. Other columns are not read."""
     sig = cut(signatures(docs, width, rows_a_band(num / den)))
     digest = ["n_shingles", "d0", "d1"]
-    reps = cut(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("r.doc_id", *digest, "r.bands"))
-    banded = reps.select(F.col("doc_id").cast("long").alias("id"), F.explode(F.array_distinct("bands")).alias("band"))
-    lowest = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
-    stars = banded.join(lowest, "band").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    groups = components(stars).withColumnRenamed("component", "grp")
-
-    member = reps.select("doc_id", *digest).join(groups, F.expr("doc_id = id")).select("id", "grp", *digest)
-    totals = member.groupBy("grp").agg(F.sum("n_shingles").alias("total"))
-    member = member.join(totals, "grp").withColumn("blocks", F.ceil(F.col("total") / F.lit(block_shingles)).cast("int"))
-    texts = docs.select("doc_id", "text").join(member, F.expr("doc_id = id")).select("text", "id", "grp", "blocks", *digest)
-    sets = cut(full_sets(texts, width).where("d0 = t0 AND d1 = t1").select("id", "grp", "blocks", "shingles").dropDuplicates(["id"]))
-
-    pivots = sets.where("blocks > 1").withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("id")))).where(f"k <= {PIVOTS}").drop("k")
-    spread = pivots.select("id", "grp", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    split = sets.select("id", "grp", "shingles", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int").alias("block")).union(spread)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        ids = pdf["id"].to_numpy()
-        return _frame(links(ids, _sets(pdf["shingles"]), ids, num, den))
-
-    edges = cut(split.groupBy("grp", "block").applyInPandas(solve, "a long, b long"))
-    # what a split group has outside its largest component meets all of the group
-    large = sets.where("blocks > 1")
-    if not large.isEmpty():
-        label = components(edges)
-        large = cut(large.join(label.withColumnRenamed("id", "_i"), F.expr("id = _i"), "left").withColumn("label", F.coalesce("component", "id")).drop("_i", "component"))
-        counts = large.groupBy("grp", "label").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-        best = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("bytes").alias("all_bytes"))
-        left_bytes = counts.join(best, "grp").where("label <> main").groupBy("grp").agg(F.sum("bytes").alias("left_bytes"))
-        info = best.join(left_bytes, "grp").select("grp", "main", *[F.ceil(F.col(c) / F.lit(8 * block_shingles)).cast("int").alias(n) for c, n in (("left_bytes", "lb"), ("all_bytes", "rb"))])
-        both = large.join(info, "grp")
-        a, b = pair_blocks(both.where("label <> main").drop("blocks"), both.drop("blocks"), "grp", "id", "lb", "rb")
-
-        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if not len(x) or not len(y):
-                return _frame([])
-            pdf = pd.concat([x, y], ignore_index=True)
-            left = np.arange(len(pdf)) < len(x)
-            return _frame(links(pdf["id"].to_numpy(), _sets(pdf["shingles"]), pdf["label"].to_numpy(), num, den, left))
-
-        edges = edges.union(cut(a.cogroup(b).applyInPandas(meet, "a long, b long")))
-    label = components(edges)
-    named = reps.select("doc_id", *digest).join(label, F.expr("doc_id = id"), "left")
-    named = named.select(*digest, F.coalesce("component", F.col("doc_id").cast("long")).alias("component_id"))
-    out = sig.select("doc_id", *digest).join(named, digest, "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id").cast("long")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))
+    known = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = known.groupBy(*digest).agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "bands")).alias("r"), F.count("*").alias("rows"))
+    reps = cut(reps.select(F.monotonically_increasing_id().alias("node"), "r.*", *digest, "rows"))
+    label = components(_links(reps, docs, width, num, den, block_shingles)).toDF("node", "label")
+    label = cut(reps.select("node", "doc_id", "text_hash", *digest, "rows").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    best = label.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"), F.count("*").alias("n"))
+    named = spread_join(label.select("label", *digest, "rows"), best, ["label"], "n", label.count()).select(*digest, "rows", "best")
+    out = spread_join(known.drop("bands"), named, digest, "rows", sig.count())
+    none = sig.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").drop("bands").withColumn("rows", F.lit(0).cast("long")).withColumn("best", F.struct(F.when(F.col("n_shingles") == 0, F.col("doc_id").cast("long")).alias("doc_id"), "text_hash"))
+    out = out.unionByName(none)
+    own = F.col("best.doc_id")
+    least = own.isNull() | (own == F.col("doc_id")) & (F.col("best.text_hash") == F.col("text_hash"))
+    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"), least.alias("first"))
