@@ -23,18 +23,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class (five words, 0.8), that of the smallest doc_id.
-
-    Documents without words stay: they are linked with nothing. Of rows with one doc_id and one text (null or
-    not) one stays, that of the least other columns. Rows of a null doc_id belong to no class, and all stay."""
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id", F.xxhash64("text").alias("_h")).count().where("count > 1")
-    again = cut(again.select("doc_id").distinct())
-    classes = neardup.classes(docs, width=5, num=80, den=100).where("NOT kept AND component_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r"))
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once.select("doc_id", "text", "_r.*").select(*docs.columns))
+    """Keeps one document of each near-duplicate class (five words, 0.8): that of the smallest doc_id, and of its texts the first by hash.
+
+    Documents without words stay: they are linked with nothing. A row is told by its doc_id and text, so rows that share a
+    doc_id fare as their texts do; of rows with one doc_id and one text one stays, that of the least other columns. Null
+    texts count as empty. Rows of a null doc_id belong to no class, and all stay. An empty table stays empty."""
+    classes = neardup.classes(docs, width=5, num=80, den=100)
+    found = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.bool_and("first").alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1"))
+    mark = neardup.text_hash()
+    rest = lambda kind, cond: docs.join(found.where(cond).select("doc_id", "text_hash"), (docs["doc_id"] == found["doc_id"]) & (mark == found["text_hash"]), kind).select(*[docs[c] for c in docs.columns])
+    alone = rest("left_anti", "true")
+    if found.where("first").isEmpty():
+        return alone
+    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
+    once = rest("left_semi", "first").groupBy("doc_id", mark).agg(F.min(F.struct("text", *others)).alias("r"))
+    return alone.union(once.select("doc_id", "r.*").select(*[f"`{c}`" for c in docs.columns]))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
