@@ -131,9 +131,11 @@ def brute_removed(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("group", [20_000, 3])
-def test_substrings(spark, monkeypatch, group):
-    monkeypatch.setattr(substrings, "GROUP_ROWS", group)
+@pytest.mark.parametrize("group,chunk", [(20_000, 10_000), (6, 40), (2, 1)])
+def test_substrings(spark, monkeypatch, group, chunk):
+    """Groups of any size, split by longer prefixes or not, give the same as plain Python."""
+    monkeypatch.setattr(substrings, "GROUP_SUFFIXES", group)
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
     rows = corpus(group + 9, 80)
     got = substrings.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_removed(rows)
@@ -148,6 +150,23 @@ def test_substrings_edges(spark, edge, empty):
     assert {r.doc_id: r.n_removed for r in substrings.removed(repeated).collect()} == {1: 0, 2: 60, 3: 0}
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    """Under a polynomial hash modulo a power of two, long words of this pattern equal their complements."""
+    return "".join((a, b)[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_that_differ_are_never_taken_for_equal(spark):
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(10 * n + k, f"{thue_morse(n, *ab)} {rest}") for n in (1024, 2048, 4096) for k, ab in enumerate(("ab", "ba"))]
+    rows += [(9 * n + k, " ".join(thue_morse(n, *ab))) for n in (64, 2048) for k, ab in enumerate(("ab", "ba"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.removed(docs).collect()} == brute_removed(rows)
+    words = [(n + k, thue_morse(n, *ab)) for n in (1024, 2048, 4096) for k, ab in enumerate(("ab", "ba"))]
+    got = neardup.classes(spark.createDataFrame(words, "doc_id long, text string"), 3, 85, 100).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    assert [len(np.intersect1d(*neardup.exact_sets([a, b], 3))) for a, b in (("x y z w", "y z w x"), ("x y", "x y"), ("x y", "x y z"))] == [1, 1, 0]
+
+
 def brute_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -1,36 +1,43 @@
 """Removal of word passages that repeat across documents, by prefix-partitioned suffix trees.
 
-Only suffixes' first ``window`` words matter, so a suffix tree is wanted down to that depth.
-1. A pass over the texts picks, in each window, its least half-window word run (a minimiser). Equal windows have
-   equal minimisers, so a window whose minimiser occurs in one document only can't repeat, and is done with.
-2. The remaining suffixes are split by that run into groups. A group larger than memory allows is split further, by its
-   documents; each part then hands on its least document of each node, and the parts' nodes meet by the full window.
-3. A task sorts its suffixes by path (run, then window). Stretches of equal paths are the tree's internal nodes of
-   the wanted depth; every leaf below a node whose least document is smaller than its own starts a repeat.
-   Neighbouring starts make up one maximal repeat.
+1. A pass over the texts finds each window's anchor: the place of its least half-window word run (a minimiser). Equal
+   windows have equal anchors, so the trees need the suffixes at anchors only, and a window whose anchor's run
+   occurs in one document only can't repeat and is done with. This pruning is by hashes; all that follows is by words.
+2. Suffixes are split into groups by their first words. The prefix has half a window's words; a group that holds more than
+   GROUP_SUFFIXES suffixes is split by a prefix of three quarters, one for each half of the places that a window
+   can have about its anchor, and what is still too large by whole windows.
+3. A task sorts a group's suffixes by their words and reads the tree from the common prefixes of neighbours: its internal
+   nodes at depth d hold the suffixes that share d words. A window that starts b words before its anchor
+   repeats where a node of depth window - b has another suffix with the same b words to its left. Neighbouring starts
+   whose window occurs in a smaller document make up one maximal repeat.
+4. Groups by whole windows are one node each, of any size: its least document is a minimum, first by salted parts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracesift.llm.blocks import spread_join
 from tracesift.llm.scratch import cut, frugal
-from tracesift.llm.textscan import mix, runs, slices, words
+from tracesift.llm.textscan import runs, slices, words
 
 WINDOW = 50
-#: Larger groups are split into as many parts as the root of their size, so that both levels stay small.
-GROUP_ROWS = 1000
-TASK_SUFFIXES = 2_000_000
+#: Suffixes that a group may hold; larger ones are split by longer prefixes.
+GROUP_SUFFIXES = 2000
+#: Suffixes of whole groups that are sorted at a time.
+CHUNK = 10_000
+TASK_SUFFIXES = 200_000
 
 
-def minimisers(hashes: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window within a row: its start, its minimiser's place, and the hashes of all runs."""
+def anchors(hashes: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window within a row: its start and its anchor's place; and the hashes of all half-window runs."""
     size = window // 2
     grams = runs(hashes, size)
     width = window - size + 1
@@ -47,15 +54,22 @@ def minimisers(hashes: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndar
     return inside, best[inside], grams
 
 
-def _digest(h: np.ndarray) -> tuple[int, int]:
-    if not len(h):
-        return 0, 0
-    x = mix(h + np.arange(len(h), dtype=np.uint64))
-    return int(x.sum().view(np.int64)), int(mix(x * np.uint64(3)).sum().view(np.int64))
+def _spells(starts: np.ndarray, places: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each spell of consecutive windows of one row with one anchor."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = np.searchsorted(at, starts, side="right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (row[1:] != row[:-1])]))
+    return new, np.concatenate([new[1:], [len(starts)]]) - 1
+
+
+def _names(sha: str) -> int:
+    """Tells apart texts of one doc_id."""
+    return int.from_bytes(bytes.fromhex(sha)[:8], "little", signed=True)
 
 
 def profile(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, the word sequence's digest, SHA-256 of the words joined by spaces, and distinct minimisers."""
+    """doc_id, n_words, SHA-256 of the words joined by spaces, that as a number, and the hash of each anchor's run."""
     kind = dict(docs.dtypes)["doc_id"]
 
     @frugal
@@ -63,131 +77,242 @@ def profile(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for first, last, body, offsets in slices(batch.column(1)):
                 _, _, hashes, at = words(body, offsets, fold=False)
-                starts, places, grams = minimisers(hashes, at, window)
-                row = np.searchsorted(at, starts, side="right") - 1
-                new = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (row[1:] != row[:-1])])) if len(places) else np.zeros(0, np.int64)
-                counts = np.bincount(row[new], minlength=last - first)
+                starts, places, grams = anchors(hashes, at, window)
+                new, _ = _spells(starts, places, at)
+                counts = np.bincount(np.searchsorted(at, starts[new], side="right") - 1, minlength=last - first)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(grams[places[new]].view(np.int64)))
-                digests = [_digest(hashes[at[i] : at[i + 1]]) for i in range(last - first)]
                 raw = body.tobytes()
                 shas = [hashlib.sha256(b" ".join(raw[offsets[i] : offsets[i + 1]].split())).hexdigest() for i in range(last - first)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(np.diff(at)), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(shas), lists],
-                    names=["doc_id", "n_words", "d0", "d1", "sha", "grams"],
+                    [batch.column(0).slice(first, last - first), pa.array(np.diff(at)), pa.array(shas), pa.array([_names(s) for s in shas], pa.int64()), lists],
+                    names=["doc_id", "n_words", "sha", "name", "grams"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, d0 long, d1 long, sha string, grams array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, sha string, name long, grams array<long>")
+
+
+_SUFFIX = "gram long, size long, id long, name long, start int, before int, windows int, words binary"
 
 
 def suffixes(texts: DataFrame, window: int) -> DataFrame:
-    """From rows (id, d0, d1, text, grams: array of struct<gram, parts>): runs of suffixes that share a minimiser.
+    """From rows (id, name, text, grams: array of struct<gram, size>): the anchored suffixes of shared runs.
 
-    gram, part, id, d0, start (word index of the first), paths (the windows' hashes, 8 bytes each)."""
+    gram, size (of the run's group), id, name, start (word index of the spell's first window), before (words from there to
+    the anchor), windows (of the spell), words (from the first window's start to the last one's end, joined by spaces)."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            ids, d0, d1 = (np.asarray(batch.column(i), np.int64) for i in range(3))
-            shared = batch.column(4)
-            for first, last, body, offsets in slices(batch.column(3)):
-                _, _, hashes, at = words(body, offsets, fold=False)
-                starts, places, grams = minimisers(hashes, at, window)
-                paths = runs(hashes, window)
-                out: list[tuple] = []
+            ids, names = (np.asarray(batch.column(i), np.int64) for i in range(2))
+            shared = batch.column(3)
+            for first, last, body, offsets in slices(batch.column(2)):
+                begin, end, hashes, at = words(body, offsets, fold=False)
+                starts, places, grams = anchors(hashes, at, window)
+                new, until = _spells(starts, places, at)
+                rows = np.searchsorted(at, starts[new], side="right") - 1
+                raw = body.tobytes()
                 for i in range(first, last):
-                    a, b = at[i - first], at[i - first + 1]
-                    if _digest(hashes[a:b]) != (d0[i], d1[i]):
+                    lo, hi = np.searchsorted(rows, [i - first, i - first + 1])
+                    if lo == hi:
+                        continue
+                    a, b = offsets[i - first], offsets[i - first + 1]
+                    if _names(hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest()) != names[i]:
                         continue
-                    lo, hi = np.searchsorted(starts, [a, b])
                     own = shared[i].values
-                    wanted, parts = np.asarray(own.field(0), np.int64), np.asarray(own.field(1), np.int64)
+                    wanted, sizes = np.asarray(own.field(0), np.int64), np.asarray(own.field(1), np.int64)
                     order = np.argsort(wanted)
-                    wanted, parts = wanted[order], parts[order]
-                    gram = grams[places[lo:hi]].view(np.int64)
+                    wanted, sizes = wanted[order], sizes[order]
+                    gram = grams[places[new[lo:hi]]].view(np.int64)
                     k = np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)
-                    use = np.flatnonzero(wanted[k] == gram)
-                    if not len(use):
-                        continue
-                    cuts = np.flatnonzero((np.diff(use) > 1) | (np.diff(gram[use]) != 0)) + 1
-                    for some in np.split(use, cuts):
-                        s, n = int(starts[lo + some[0]]), int(parts[k[some[0]]])
-                        out.append((int(gram[some[0]]), int(ids[i]) % n if n > 1 else -1, int(ids[i]), int(d0[i]), s - int(a), paths[s : s + len(some)].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["gram", "part", "id", "d0", "start", "paths"])
+                    for j in np.flatnonzero(wanted[k] == gram).tolist():
+                        s, z = int(starts[new[lo + j]]), int(starts[until[lo + j]])
+                        text = b" ".join(raw[begin[s] : end[z + window - 1]].split())
+                        out.append((int(gram[j]), int(sizes[k[j]]), int(ids[i]), int(names[i]), s - int(at[i - first]), int(places[new[lo + j]]) - s, z - s + 1, text))
+                        if len(out) >= 20_000:
+                            yield _rows(out, _SUFFIX)
+                            out = []
+        if out:
+            yield _rows(out, _SUFFIX)
+
+    return texts.select("id", "name", "text", "grams").mapInArrow(run, _SUFFIX)
+
+
+def _rows(out: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _halves(row: dict, window: int) -> Iterator[tuple[int, int, bytes]]:
+    """The two longer prefixes of a suffix: for each, the first window and the number of windows that it serves, and its words.
+
+    Windows that start up to ``middle - 1`` words before the anchor have the words from there to ``window - middle + 1`` words
+    later in common; the others those from ``middle`` words before the anchor to the end of the half-window run."""
+    size = window // 2
+    middle = (window - size + 1) // 2
+    text = row["words"].split()
+    before, n = row["before"], row["windows"]
+    far = max(0, min(n, before - middle + 1))  # windows that start ``middle`` or more words before the anchor
+    if far:
+        yield 0, far, b" ".join(text[before - middle : before + size])
+    if far < n:
+        yield far, n - far, b" ".join(text[before : before + window - middle + 1])
+
+
+def _hash(text: bytes, salt: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8, person=salt).digest(), "little", signed=True)
+
+
+def longer(rows: DataFrame, window: int) -> DataFrame:
+    """Suffixes of groups by half a window's words, split by prefixes of three quarters: one row for each half of the places."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                text = row["words"].split()
+                for k, (first, n, prefix) in enumerate(_halves(row, window)):
+                    own = b" ".join(text[first : first + n - 1 + window])
+                    out.append((_hash(prefix, b"far" if row["before"] - first >= (window - window // 2 + 1) // 2 else b"near"), 0, row["id"], row["name"], row["start"] + first, row["before"] - first, n, own))
+            if out:
+                yield _rows(out, _SUFFIX)
 
-    return texts.select("id", "d0", "d1", "text", "grams").mapInArrow(run, "gram long, part long, id long, d0 long, start long, paths binary")
+    return rows.mapInArrow(run, _SUFFIX)
 
 
-def tree_repeats(rows: DataFrame, final: bool) -> DataFrame:
-    """From one task's suffixes: repeats (id, d0, start, stop of suffix starts; paths null), and for split groups
-    (part >= 0) each node's least document, to be met by those of other parts (paths set)."""
+def whole_windows(rows: DataFrame, window: int) -> DataFrame:
+    """A row for each window of the suffixes: node (128 bits of a cryptographic hash of its words), size, id, name, start."""
+    schema = "node binary, size long, id long, name long, start int"
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[np.asarray(b.column(i), np.int64) for i in range(5)] + [b.column(5).to_pylist()] for b in batches if b.num_rows]
-        if not parts:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                out = []
+                for row in batch.slice(i, 2000).to_pylist():
+                    text = row["words"].split()
+                    for k in range(row["windows"]):
+                        node = hashlib.sha256(b" ".join(text[k : k + window])).digest()[:16]
+                        out.append((node, row["size"], row["id"], row["name"], row["start"] + k))
+                yield _rows(out, schema)
+
+    return rows.mapInArrow(run, schema)
+
+
+def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
+    """id, name, start, stop of window starts that repeat in a smaller document, from suffixes sorted by group (``gram``)."""
+    schema = "id long, name long, start int, stop int"
+    columns = ["gram", "id", "name", "start", "before", "windows", "words"]
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK:  # the last group may go on in the next batch
+                table = pa.Table.from_batches(held).combine_chunks()
+                gram = np.asarray(table.column(0))
+                whole = int(np.searchsorted(np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])), np.sum(gram[1:] != gram[:-1])))
+                if whole:
+                    yield from solve(table.slice(0, whole))
+                    held = table.slice(whole).combine_chunks().to_batches()
+                    n = table.num_rows - whole
+        if n:
+            yield from solve(pa.Table.from_batches(held))
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram, ids, names, start, before, windows = (np.asarray(table.column(i), np.int64) for i in range(6))
+        split = [w.split() for w in table.column(6).to_pylist()]
+        flat = list(chain.from_iterable(split))
+        number = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+        flat = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+        size = np.array([len(w) for w in split])
+        at = np.cumsum(size) - size
+        # words from the anchor on, and leftwards from it; -1 - row beyond the text, which equals nothing
+        ahead = _aligned(flat, at + before, size - before, window)
+        left = _aligned(flat, at + before - 1, before, window - window // 2, -1)
+        order = np.lexsort((*[ahead[:, k] for k in range(window - 1, -1, -1)], gram))
+        gram, ids, names, start, before, windows, ahead, left = (x[order] for x in (gram, ids, names, start, before, windows, ahead, left))
+        same = ahead[1:] == ahead[:-1]
+        common = np.where(same.all(1), window, same.argmin(1))  # words that neighbours in the order share
+        common[gram[1:] != gram[:-1]] = -1
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        context = np.zeros(len(gram), np.int64)  # number of the words to the left, of the length in hand
+        for b in range(window - window // 2 + 1):
+            if b:
+                _, context = np.unique(context * (len(number) + len(gram) + 1) + left[:, b - 1] + len(gram) + 1, return_inverse=True)
+            use = np.flatnonzero((before >= b) & (before - b < windows))
+            if not len(use):
+                continue
+            node = np.cumsum(np.concatenate([[0], common < window - b]))  # internal nodes of depth window - b
+            _, place = np.unique(node[use] * len(gram) + context[use], return_inverse=True)
+            least = np.full(place.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, place, ids[use])
+            hit = use[ids[use] > least[place]]
+            found.append((hit, start[hit] + before[hit] - b))
+        row = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+        if not len(row):
             return
-        gram, part, ids, d0, start = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        blobs = [x for p in parts for x in p[5]]
-        n = np.array([len(x) // 8 for x in blobs])
-        path = np.frombuffer(b"".join(blobs), np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        pos = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((ids[row], path, part[row] if not final else np.zeros(len(row)), gram[row]))
-        r, p = row[order], path[order]
-        same = (gram[r][1:] == gram[r][:-1]) & (p[1:] == p[:-1])
-        if not final:
-            same &= part[r][1:] == part[r][:-1]
-        node = np.cumsum(np.concatenate([[True], ~same])) - 1
-        least = ids[r][np.flatnonzero(np.concatenate([[True], ~same]))][node]
-        repeat = ids[r] > least
-        hit = order[repeat]
-        hit = hit[np.lexsort((pos[hit], d0[row[hit]], ids[row[hit]]))]
-        if len(hit):
-            rh, ph = row[hit], pos[hit]
-            new = np.concatenate([[True], (ids[rh][1:] != ids[rh][:-1]) | (d0[rh][1:] != d0[rh][:-1]) | (ph[1:] > ph[:-1] + 1)])
-            a, z = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:], [len(hit)]]) - 1
-            yield batch(ids[rh][a], d0[rh][a], ph[a], ph[z] + 1, None, None)
-        if not final:
-            on = order[~repeat & (part[r] >= 0)]
-            for i in range(0, len(on), 50_000):
-                o = on[i : i + 50_000]
-                yield batch(ids[row[o]], d0[row[o]], pos[o], pos[o] + 1, gram[row[o]], [path[x : x + 1].tobytes() for x in o])
-
-    def batch(ids, d0, start, stop, gram, paths) -> pa.RecordBatch:
-        n = len(ids)
-        columns = [pa.array(ids), pa.array(d0), pa.array(start), pa.array(stop), pa.nulls(n, pa.int64()) if gram is None else pa.array(gram), pa.nulls(n, pa.binary()) if paths is None else pa.array(paths, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "d0", "start", "stop", "gram", "paths"])
-
-    return rows.select("gram", "part", "id", "d0", "start", "paths").mapInArrow(run, "id long, d0 long, start long, stop long, gram long, paths binary")
-
-
-def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents' profiles, the least document of each word sequence, and repeats (id, d0, start, stop)."""
+        pos = np.concatenate([f[1] for f in found])
+        order = np.lexsort((pos, names[row], ids[row]))
+        row, pos = row[order], pos[order]
+        new = np.flatnonzero(np.concatenate([[True], (ids[row][1:] != ids[row][:-1]) | (names[row][1:] != names[row][:-1]) | (pos[1:] > pos[:-1] + 1)]))
+        last = np.concatenate([new[1:], [len(row)]]) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row][new]), pa.array(names[row][new]), pa.array(pos[new].astype(np.int32)), pa.array((pos[last] + 1).astype(np.int32))], names=["id", "name", "start", "stop"])
+
+    return rows.select(*columns).mapInArrow(run, schema)
+
+
+def _aligned(flat: np.ndarray, first: np.ndarray, n: np.ndarray, width: int, step: int = 1) -> np.ndarray:
+    """[rows, width] words from ``first`` on by ``step``, of which row i has n[i]; beyond them a number of the row's own."""
+    k = np.arange(width)
+    at = np.clip(first[:, None] + step * k, 0, max(0, len(flat) - 1))
+    return np.where(k < n[:, None], flat[at].astype(np.int64), -1 - np.arange(len(first))[:, None])
+
+
+def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Profiles, the least document of each word sequence, the texts that matter, and repeats (id, name, start, stop)."""
     spark = docs.sparkSession
     seen = cut(profile(docs, window))
-    digest = ["n_words", "d0", "d1"]
     known = seen.where(f"n_words >= {window} AND doc_id IS NOT NULL")
     # copies of whole documents go at once: the least one has all their windows
-    least = known.groupBy(*digest).agg(F.min("doc_id").alias("least"))
-    grams = known.join(least, digest).where("doc_id = least").select(F.col("doc_id").cast("long").alias("id"), "d0", "d1", F.explode(F.array_distinct("grams")).alias("gram")).dropDuplicates(["id", "d0", "gram"])
-    shared = cut(grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("gram", "n"))
-    parts = F.when(F.col("n") > GROUP_ROWS, F.ceil(F.sqrt(F.col("n").cast("double")))).otherwise(1).cast("long").alias("parts")
-    wanted = grams.join(shared.select("gram", parts), "gram").groupBy("id", "d0", "d1").agg(F.collect_list(F.struct("gram", "parts")).alias("grams"))
-    texts = docs.select("doc_id", "text").join(wanted, F.expr("doc_id = id")).select("id", "d0", "d1", "text", "grams")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * window // 2 // TASK_SUFFIXES)
-    first = cut(tree_repeats(suffixes(texts, window).repartition(tasks, "gram", "part"), False))
-    open_ = first.where("gram IS NOT NULL").select("gram", F.lit(0).cast("long").alias("part"), "id", "d0", "start", "paths")
-    second = tree_repeats(open_.repartition(tasks, "gram", "paths"), True)
-    return seen, least, first.where("gram IS NULL").union(second).select("id", "d0", "start", "stop")
+    least = cut(known.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    n_seen = seen.count()
+    first = spread_join(known, least, ["sha"], "n", n_seen).where("doc_id = least").groupBy(F.col("doc_id").cast("long").alias("id"), "name").agg(F.first("grams").alias("grams"))
+    grams = cut(first.select("id", "name", F.explode("grams").alias("gram")).groupBy("id", "name", "gram").agg(F.count("*").alias("k")))
+    shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("k").alias("size"), F.count("*").alias("n")).where("lo < hi").select("gram", "size", "n")
+    wanted = spread_join(grams, shared, ["gram"], "n", grams.count()).groupBy("id", "name").agg(F.collect_list(F.struct("gram", "size")).alias("grams"))
+    texts = cut(docs.select("doc_id", "text").join(wanted, F.expr("doc_id = id")).select("id", "name", "text", "grams"))
+    rows = cut(suffixes(texts, window))
+    total = rows.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_SUFFIXES)
+    grouped = lambda df: tree_repeats(df.repartition(tasks, "gram").sortWithinPartitions("gram"), window)
+    found = grouped(rows.where(F.col("size") <= GROUP_SUFFIXES))
+    large = rows.where(F.col("size") > GROUP_SUFFIXES)
+    if not large.isEmpty():
+        large = cut(longer(large, window))
+        sizes = large.groupBy("gram").agg(F.count("*").alias("n"))
+        large = cut(spread_join(large.drop("size"), sizes, ["gram"], "n", 2 * total).withColumnRenamed("n", "size"))
+        found = found.union(grouped(large.where(F.col("size") <= GROUP_SUFFIXES)))
+        nodes = cut(whole_windows(large.where(F.col("size") > GROUP_SUFFIXES), window).withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.ceil(F.sqrt(F.col("size").cast("double")))).cast("int")).drop("size"))
+        parts = nodes.groupBy("node", "salt").agg(F.min("id").alias("least"))
+        answers = parts.join(parts.groupBy("node").agg(F.min("least").alias("all")), "node").select("node", "salt", F.col("all").alias("least"))
+        again = nodes.join(answers, ["node", "salt"]).where("id > least")
+        found = found.union(again.select("id", "name", "start", (F.col("start") + 1).alias("stop")))
+    return seen, least, texts, found
 
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Maximal repeats: doc_id, start, stop (word indexes) of words to remove, for documents that aren't whole copies.
 
     Stretches found by different tasks may touch or overlap; ``removed`` merges them."""
-    _, _, found = _found(docs, window)
+    found = _found(docs, window)[3]
     return found.select(F.col("id").alias("doc_id"), "start", (F.col("stop") + window - 1).alias("stop"))
 
 
@@ -196,33 +321,36 @@ def removed(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataF
 
     A word goes if a run of ``window`` words that covers it also starts in a document with a smaller doc_id. Words are
     ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have no words; rows with a null doc_id and
-    texts shorter than the window keep all; equal rows fare equally. Other columns are not read."""
-    seen, least, found = _found(docs, window)
-    by_doc = found.groupBy("id", "d0").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    changed = docs.select("doc_id", "text").join(by_doc, F.expr("doc_id = id")).select("id", "d0", "text", "spans")
+    texts shorter than the window keep all; equal rows fare equally; rows of one doc_id are never each other's
+    repeats; an empty table gives no rows. Other columns are not read."""
+    seen, least, known, found = _found(docs, window)
+    by_doc = found.groupBy("id", "name").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    changed = known.select("id", "name", "text").join(by_doc, ["id", "name"]).select("id", "name", "text", "spans")
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, d0, out = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64), []
-            for first, last, body, offsets in slices(batch.column(2)):
-                _, _, hashes, at = words(body, offsets, fold=False)
-                raw = body.tobytes()
-                for i in range(first, last):
-                    k = i - first
-                    own = hashes[at[k] : at[k + 1]]
-                    if _digest(own)[0] != d0[i]:
-                        continue
-                    edge, s = np.zeros(len(own) + 1, np.int64), batch.column(3)[i].values
-                    np.add.at(edge, np.asarray(s.field(0)), 1)
-                    np.add.at(edge, np.asarray(s.field(1)) + window - 1, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    kept = b" ".join(w for w, g in zip(raw[offsets[k] : offsets[k + 1]].split(), gone, strict=True) if not g)
-                    out.append((int(ids[i]), int(d0[i]), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["id", "d0", "n", "kept", "kept_text"])
-
-    changed = changed.mapInArrow(run, "id long, d0 long, n long, kept string, kept_text string").dropDuplicates(["id", "d0"]).withColumnRenamed("d0", "_d0")
-    out = seen.drop("grams").join(least, ["n_words", "d0", "d1"], "left").join(changed, F.expr("doc_id = id AND d0 = _d0"), "left")
+            ids, names, out = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64), []
+            for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+                own = text.split()
+                sha = hashlib.sha256(b" ".join(own)).hexdigest()
+                if _names(sha) != names[i]:  # another text of that doc_id
+                    continue
+                edge, s = np.zeros(len(own) + 1, np.int64), batch.column(3)[i].values
+                np.add.at(edge, np.asarray(s.field(0)), 1)
+                np.add.at(edge, np.asarray(s.field(1)) + window - 1, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = b" ".join(w for w, g in zip(own, gone, strict=True) if not g)
+                out.append((int(ids[i]), sha, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)], names=["id", "_sha", "n", "kept", "kept_text"])
+
+    changed = changed.mapInArrow(run, "id long, _sha string, n long, kept string, kept_text string").dropDuplicates(["id", "_sha"])
+    # every row of a sequence but its least document's is a copy
+    usable = (F.col("n_words") >= window) & F.col("doc_id").isNotNull()
+    rows = seen.drop("grams", "name")
+    copies = spread_join(rows.where(usable), least, ["sha"], "n", seen.count()).drop("n")
+    out = copies.unionByName(rows.where(~usable).withColumn("least", F.lit(None).cast("long"))).join(changed, F.expr("doc_id = id AND sha = _sha"), "left")
     copy = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
     columns = ["doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_removed"), F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256")]
     if texts:  # null: nothing was removed, the text stands as it is
