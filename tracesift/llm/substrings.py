@@ -5,7 +5,8 @@
    occurs in one document only can't repeat and is done with. This pruning is by hashes; all that follows is by words.
 2. Suffixes are split into groups by their first words. The prefix has half a window's words; a group that holds more than
    GROUP_SUFFIXES suffixes is split by a prefix of three quarters, one for each half of the places that a window
-   can have about its anchor, and what is still too large by whole windows.
+   can have about its anchor, and what is still too large by whole windows. Before that, suffixes of large groups with
+   the same words about them are merged: all but the least document's repeat as a whole.
 3. A task sorts a group's suffixes by their words and reads the tree from the common prefixes of neighbours: its internal
    nodes at depth d hold the suffixes that share d words. A window that starts b words before its anchor
    repeats where a node of depth window - b has another suffix with the same b words to its left. Neighbouring starts
@@ -276,6 +277,22 @@ def _aligned(flat: np.ndarray, first: np.ndarray, n: np.ndarray, width: int, ste
     return np.where(k < n[:, None], flat[at].astype(np.int64), -1 - np.arange(len(first))[:, None])
 
 
+def _by_node(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is their ``node``'s least, and the others. Nodes of any size are met in parts, of about the root of ``size``."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.ceil(F.sqrt(F.col("size").cast("double")))).cast("int"))
+    parts = rows.groupBy("node", "salt").agg(F.min("id").alias("least"))
+    answers = parts.join(parts.groupBy("node").agg(F.min("least").alias("all")), "node").select("node", "salt", F.col("all").alias("least"))
+    rows = cut(rows.join(answers, ["node", "salt"]).drop("salt"))
+    return rows.where("id = least").drop("node", "least"), rows.where("id > least")
+
+
+def _sized(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Suffixes (a stored table) of groups that fit, and of those that don't, with their groups' present sizes."""
+    rows = rows.drop("size")
+    rows = cut(spread_join(rows, rows.groupBy("gram").agg(F.count("*").alias("size")), ["gram"], "size", total).select(*[f.split()[0] for f in _SUFFIX.split(", ")]))
+    return rows.where(F.col("size") <= GROUP_SUFFIXES), rows.where(F.col("size") > GROUP_SUFFIXES)
+
+
 def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Profiles, the least document of each word sequence, the texts that matter, and repeats (id, name, start, stop)."""
     spark = docs.sparkSession
@@ -296,15 +313,16 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     found = grouped(rows.where(F.col("size") <= GROUP_SUFFIXES))
     large = rows.where(F.col("size") > GROUP_SUFFIXES)
     if not large.isEmpty():
-        large = cut(longer(large, window))
-        sizes = large.groupBy("gram").agg(F.count("*").alias("n"))
-        large = cut(spread_join(large.drop("size"), sizes, ["gram"], "n", 2 * total).withColumnRenamed("n", "size"))
-        found = found.union(grouped(large.where(F.col("size") <= GROUP_SUFFIXES)))
-        nodes = cut(whole_windows(large.where(F.col("size") > GROUP_SUFFIXES), window).withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.ceil(F.sqrt(F.col("size").cast("double")))).cast("int")).drop("size"))
-        parts = nodes.groupBy("node", "salt").agg(F.min("id").alias("least"))
-        answers = parts.join(parts.groupBy("node").agg(F.min("least").alias("all")), "node").select("node", "salt", F.col("all").alias("least"))
-        again = nodes.join(answers, ["node", "salt"]).where("id > least")
-        found = found.union(again.select("id", "name", "start", (F.col("start") + 1).alias("stop")))
+        # spells of the same words are one: all but those of the least document repeat as a whole
+        large = large.withColumn("node", F.sha2(F.concat(F.col("before").cast("string").cast("binary"), F.lit(" ").cast("binary"), "words"), 256))
+        alike, twice = _by_node(large)
+        found = found.union(twice.select("id", "name", "start", F.expr("start + windows").alias("stop")))
+        small, large = _sized(alike, total)
+        found = found.union(grouped(small))
+        small, large = _sized(cut(longer(large, window)), 2 * total)
+        found = found.union(grouped(small))
+        _, twice = _by_node(cut(whole_windows(large, window)))
+        found = found.union(twice.select("id", "name", "start", F.expr("start + 1").alias("stop")))
     return seen, least, texts, found
 
 
