@@ -94,7 +94,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+    return neardup.classes(_table(spark, sf_dir, "documents"), width=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _neardup_sql(width: int, num: int, den: int) -> str:
