@@ -6,7 +6,7 @@
 2. Suffixes are split into groups by their first words. The prefix has half a window's words; a group that holds more than
    GROUP_SUFFIXES suffixes is split by a prefix of three quarters, one for each half of the places that a window
    can have about its anchor, and what is still too large by whole windows. Before that, suffixes of large groups with
-   the same words about them are merged: all but the least document's repeat as a whole.
+   the same words about them are merged, first within a task: all but the least document's repeat as a whole.
 3. A task sorts a group's suffixes by their words and reads the tree from the common prefixes of neighbours: its internal
    nodes at depth d hold the suffixes that share d words. A window that starts b words before its anchor
    repeats where a node of depth window - b has another suffix with the same b words to its left. Neighbouring starts
@@ -31,7 +31,7 @@ from tracesift.llm.textscan import runs, slices, words
 
 WINDOW = 50
 #: Suffixes that a group may hold; larger ones are split by longer prefixes.
-GROUP_SUFFIXES = 2000
+GROUP_SUFFIXES = 500
 #: Suffixes of whole groups that are sorted at a time.
 CHUNK = 10_000
 TASK_SUFFIXES = 200_000
@@ -99,7 +99,8 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
     """From rows (id, name, text, grams: array of struct<gram, size>): the anchored suffixes of shared runs.
 
     gram, size (of the run's group), id, name, start (word index of the spell's first window), before (words from there to
-    the anchor), windows (of the spell), words (from the first window's start to the last one's end, joined by spaces)."""
+    the anchor), windows (of the spell), words (from the first window's start to the last one's end, joined by spaces; null:
+    the spell is known to repeat)."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +131,23 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
                         s, z = int(starts[new[lo + j]]), int(starts[until[lo + j]])
                         text = b" ".join(raw[begin[s] : end[z + window - 1]].split())
                         out.append((int(gram[j]), int(sizes[k[j]]), int(ids[i]), int(names[i]), s - int(at[i - first]), int(places[new[lo + j]]) - s, z - s + 1, text))
-                        if len(out) >= 20_000:
-                            yield _rows(out, _SUFFIX)
+                        if len(out) >= CHUNK:
+                            yield _rows(_merged(out), _SUFFIX)
                             out = []
         if out:
-            yield _rows(out, _SUFFIX)
+            yield _rows(_merged(out), _SUFFIX)
 
     return texts.select("id", "name", "text", "grams").mapInArrow(run, _SUFFIX)
 
 
+def _merged(out: list[tuple]) -> list[tuple]:
+    """Spells of the same words are one: all but those of the least document at hand repeat as a whole, and lose their words."""
+    least: dict[tuple, int] = {}
+    for gram, _, id, _, _, before, _, text in out:
+        least[gram, before, text] = min(id, least.get((gram, before, text), id))
+    return [(*row[:7], None) if row[2] > least[row[0], row[5], row[7]] else row for row in out]
+
+
 def _rows(out: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
@@ -310,13 +319,16 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     total = rows.count()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_SUFFIXES)
     grouped = lambda df: tree_repeats(df.repartition(tasks, "gram").sortWithinPartitions("gram"), window)
-    found = grouped(rows.where(F.col("size") <= GROUP_SUFFIXES))
-    large = rows.where(F.col("size") > GROUP_SUFFIXES)
+    whole = lambda df: df.select("id", "name", "start", F.expr("start + windows").alias("stop"))
+    found = whole(rows.where("words IS NULL"))
+    rows = rows.where("words IS NOT NULL")
+    found = found.union(grouped(rows.where(F.col("size") <= GROUP_SUFFIXES)))
+    small, large = _sized(rows.where(F.col("size") > GROUP_SUFFIXES), total)
+    found = found.union(grouped(small))
     if not large.isEmpty():
-        # spells of the same words are one: all but those of the least document repeat as a whole
-        large = large.withColumn("node", F.sha2(F.concat(F.col("before").cast("string").cast("binary"), F.lit(" ").cast("binary"), "words"), 256))
-        alike, twice = _by_node(large)
-        found = found.union(twice.select("id", "name", "start", F.expr("start + windows").alias("stop")))
+        key = [F.col(c).cast("string").cast("binary") for c in ("before", "windows")]
+        alike, twice = _by_node(large.withColumn("node", F.sha2(F.concat(key[0], F.lit(" ").cast("binary"), key[1], F.lit(" ").cast("binary"), "words"), 256)))
+        found = found.union(whole(twice))
         small, large = _sized(alike, total)
         found = found.union(grouped(small))
         small, large = _sized(cut(longer(large, window)), 2 * total)
