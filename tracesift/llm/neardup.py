@@ -33,7 +33,7 @@ from tracesift.llm.textscan import mix, runs, sequence, slices, word_hashes, wor
 BUCKETS, MANTISSA = 256, 10
 #: A pair at the threshold shares no band with this chance at most.
 MISS = 1e-4
-BLOCK_SHINGLES = 150_000
+BLOCK_SHINGLES = 40_000
 PIVOTS = 16
 #: How far below the threshold an estimate may fall before a pair is ruled out: over five standard deviations.
 SLACK = 0.14
