@@ -127,10 +127,25 @@ def admitted(counts: DataFrame, max_keys: int) -> DataFrame:
     return counts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_keys).drop("_n")
 
 
-def key_counts(traces: DataFrame, seconds: int, max_keys: int) -> DataFrame:
-    """state, key, interval, n: records by key and interval, for traces (state, key, ts, n_descendants)."""
-    counts = traces.groupBy("state", "key", interval_of(F.col("ts"), seconds).alias("interval")).agg(F.sum("n_descendants").alias("n"), F.min("ts").alias("first"))
-    return admitted(counts, max_keys).drop("first")
+COUNTS = "state string, key string, interval long, n long, first timestamp, period int"
+
+
+def own_counts(traces: DataFrame, seconds: int) -> DataFrame:
+    """COUNTS of traces (state, key, ts, n_descendants): records by key and interval, and the first arrival."""
+    return traces.groupBy("state", "key", interval_of(F.col("ts"), seconds).alias("interval")).agg(F.sum("n_descendants").alias("n"), F.min("ts").alias("first"))
+
+
+def key_counts(traces: DataFrame, seconds: int, max_keys: int, history: DataFrame | None = None) -> DataFrame:
+    """COUNTS for traces, with those of earlier ones (``history``), of the keys that are tracked."""
+    counts = own_counts(traces, seconds)
+    if history is not None:
+        counts = counts.unionByName(history.select(counts.columns)).groupBy("state", "key", "interval").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return admitted(counts, max_keys)
+
+
+def period_of(s) -> int:
+    """Seconds by which a dynamic sampler counts."""
+    return s.update_s if isinstance(s, WindowedThroughput) else s.interval_s
 
 
 def allocate(counts: DataFrame, total_goal: Column, by_log: bool) -> DataFrame:
@@ -147,9 +162,9 @@ def allocate(counts: DataFrame, total_goal: Column, by_log: bool) -> DataFrame:
     return c.withColumn("rate", F.greatest(F.lit(1), F.ceil(F.round(F.col("n") / mine, 9))).cast("long")).drop("_w")
 
 
-def tumbling_rates(traces: DataFrame, s: Dynamic | TotalThroughput) -> DataFrame:
+def tumbling_rates(traces: DataFrame, s: Dynamic | TotalThroughput, history: DataFrame | None = None) -> DataFrame:
     """state, key, interval (in which the rate applies), rate: from the counts of the interval before."""
-    counts = key_counts(traces, s.interval_s, s.max_keys)
+    counts = key_counts(traces, s.interval_s, s.max_keys, history)
     if isinstance(s, Dynamic):
         rated = allocate(counts, F.col("n_total") / F.lit(float(s.goal)), True)
     else:
@@ -157,13 +172,19 @@ def tumbling_rates(traces: DataFrame, s: Dynamic | TotalThroughput) -> DataFrame
     return rated.select("state", "key", (F.col("interval") + 1).alias("interval"), "rate")
 
 
-def windowed_rates(traces: DataFrame, s: WindowedThroughput) -> DataFrame:
-    """As ``tumbling_rates``, from the sum over the look-back's updates before."""
-    counts = key_counts(traces, s.update_s, 1 << 31)
-    spread = counts.withColumn("interval", F.explode(F.sequence(F.col("interval") + 1, F.col("interval") + s.steps)))
-    sums = spread.groupBy("state", "key", "interval").agg(F.sum("n").alias("n"))
-    sums = admitted(sums.withColumn("first", -F.col("n")), s.max_keys).drop("first")
-    return allocate(sums, F.lit(float(cluster_goal(s.goal_per_s, s.peers) * s.steps * s.update_s)), False).select("state", "key", "interval", "rate")
+def windowed_rates(traces: DataFrame, s: WindowedThroughput, history: DataFrame | None = None) -> DataFrame:
+    """As ``tumbling_rates``, from the sum over the look-back's updates before. Of a look-back's keys the first to arrive are tracked.
+
+    A count is in the sums of the ``steps`` updates after it. Those sums change only where a count enters or leaves, so
+    they are running sums of such changes, and each holds for the updates until the next change."""
+    counts = key_counts(traces, s.update_s, 1 << 31, history)
+    moves = counts.select("state", "key", "first", F.explode(F.array(F.struct((F.col("interval") + 1).alias("interval"), F.col("n").alias("d")), F.struct((F.col("interval") + 1 + s.steps).alias("interval"), (-F.col("n")).alias("d")))).alias("m"))
+    moves = moves.groupBy("state", "key", "m.interval").agg(F.sum("m.d").alias("d"), F.min(F.when(F.col("m.d") > 0, F.col("first"))).alias("first"))
+    by_time = Window.partitionBy("state", "key").orderBy("interval")
+    back = by_time.rangeBetween(-s.steps + 1, Window.currentRow)
+    sums = moves.withColumn("n", F.sum("d").over(by_time)).withColumn("until", F.lead("interval").over(by_time)).withColumn("first", F.min("first").over(back)).where("n > 0")
+    sums = sums.select("state", "key", F.explode(F.sequence("interval", F.col("until") - 1)).alias("interval"), "n", "first")
+    return allocate(admitted(sums, s.max_keys), F.lit(float(cluster_goal(s.goal_per_s, s.peers) * s.steps * s.update_s)), False).select("state", "key", "interval", "rate")
 
 
 def moving_averages(counts: DataFrame, weight: float, age_out: float | None) -> DataFrame:
@@ -198,9 +219,9 @@ def moving_averages(counts: DataFrame, weight: float, age_out: float | None) ->
     return rows.select("state", "key", "x.interval", "x.ema")
 
 
-def ema_rates(traces: DataFrame, s: EmaDynamic | EmaThroughput) -> DataFrame:
+def ema_rates(traces: DataFrame, s: EmaDynamic | EmaThroughput, history: DataFrame | None = None) -> DataFrame:
     """As ``tumbling_rates``, from the moving averages after the interval before."""
-    averages = moving_averages(key_counts(traces, s.interval_s, s.max_keys), s.weight, s.age_out).withColumnRenamed("ema", "n")
+    averages = moving_averages(key_counts(traces, s.interval_s, s.max_keys, history), s.weight, s.age_out).withColumnRenamed("ema", "n")
     goal = F.col("n_total") / F.lit(float(s.goal)) if isinstance(s, EmaDynamic) else F.lit(float(cluster_goal(s.goal_per_s, s.peers) * s.interval_s))
     return allocate(averages, goal, True).select("state", "key", (F.col("interval") + 1).alias("interval"), "rate")
 
@@ -217,27 +238,30 @@ def bursts(traces: DataFrame, s: EmaDynamic) -> DataFrame:
     return joined.withColumn("burst", hot)
 
 
-def rates(traces: DataFrame, s) -> tuple[DataFrame, int, int]:
+def rates(traces: DataFrame, s, history: DataFrame | None = None) -> tuple[DataFrame, int, int]:
     """The rate table of any dynamic sampler, its interval's seconds, and the rate of keys that aren't in it."""
     if isinstance(s, (Dynamic, TotalThroughput)):
-        return tumbling_rates(traces, s), s.interval_s, 1
+        return tumbling_rates(traces, s, history), s.interval_s, 1
     if isinstance(s, WindowedThroughput):
-        return windowed_rates(traces, s), s.update_s, 1
-    return ema_rates(traces, s), s.interval_s, 1
+        return windowed_rates(traces, s, history), s.update_s, 1
+    return ema_rates(traces, s, history), s.interval_s, 1
 
 
-def decide(traces: DataFrame, s, salt: str = "dynamic") -> DataFrame:
+def decide(traces: DataFrame, s, salt: str = "dynamic", history: DataFrame | None = None) -> DataFrame:
     """``traces`` (trace_id, state, key, ts, n_descendants and others) plus rate, keep and the sampler's reason.
 
-    The draw is a salted hash of the trace id, so that reruns agree."""
-    table, seconds, unseen = rates(traces.select("state", "key", "ts", "n_descendants"), s)
+    ``history``: COUNTS of traces that were decided before, whose intervals and keys go on here. The draw is a salted hash of the
+    trace id, so that reruns agree."""
+    if history is not None:  # traces' own states only
+        history = history.join(traces.select("state").distinct(), "state", "left_semi")
+    table, seconds, unseen = rates(traces.select("state", "key", "ts", "n_descendants"), s, history)
     at = traces.withColumn("interval", interval_of(F.col("ts"), seconds))
     out = at.join(table, ["state", "key", "interval"], "left")
     rate = F.coalesce("rate", F.lit(unseen))
     if isinstance(s, EmaThroughput):
         # a row a state, joined instead of a window over all of a state's traces
-        starts = at.groupBy("state").agg(F.min("interval").alias("_start"))
-        out = out.join(starts, "state")
+        known = at.select("state", "interval") if history is None else at.select("state", "interval").union(history.select("state", "interval"))
+        out = out.join(known.groupBy("state").agg(F.min("interval").alias("_start")), "state")
         rate = F.when(F.col("interval") == F.col("_start"), F.lit(s.initial)).otherwise(rate)
     out = out.withColumn("rate", rate.cast("long")).drop("interval", "_start")
     return out.withColumn("keep", keep_one_in(F.col("trace_id"), F.col("rate"), salt)).withColumn("sampler_reason", F.lit(s.name))

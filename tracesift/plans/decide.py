@@ -16,18 +16,22 @@ from tracesift.sources.spans import Spans
 COLUMNS = ("trace_id", "n_descendants", "has_root", "rate", "keep", "reason", "sample_key")
 
 
-def decide(spans: Spans, sampler, prefix: str = "default", extra: list[Column] = ()) -> DataFrame:
-    """One row a trace: COLUMNS, then ``extra`` aggregates.
+def decide(spans: Spans, sampler, prefix: str = "default", extra: list[Column] = (), reads: tuple[str, ...] = (), history: DataFrame | None = None) -> DataFrame:
+    """One row a trace: COLUMNS, then ``extra`` aggregates, which may read the fields ``reads``.
+
+    ``history``: for a live job, COUNTS of the dynamic samplers from traces decided before. With it (an empty table at first) the
+    result has the columns ``state``, ``ts`` and ``period`` too, from which ``tally`` counts.
 
     ``sampler``: a RuleSet, or any sampler. A rule's chance draw hashes the trace id. Downstream samplers count only traces
-    that reach their rule. One exchange by trace id; each dynamic sampler adds a small one by key and interval."""
+    that reach their rule, or another one that shares their state. One exchange by trace id; each dynamic sampler adds a small one
+    by key and interval."""
     if not isinstance(sampler, RuleSet):
-        out = decide(spans, RuleSet((Rule("", sampler=sampler),)), prefix, extra)
+        out = decide(spans, RuleSet((Rule("", sampler=sampler),)), prefix, extra, reads, history)
         return out.withColumn("reason", F.substring_index("reason", ":", -1))
     downstream = {i: r for i, r in enumerate(sampler.rules) if r.sampler is not None}
     dynamic = {i: r for i, r in downstream.items() if not isinstance(r.sampler, S.Deterministic)}
     keys = {i: TraceKey(tuple(r.sampler.fields), r.sampler.length) for i, r in dynamic.items()}
-    wanted = sampler.fields() | {"ts"} | {str(n) for n in _names(extra, spans)}
+    wanted = sampler.fields() | {"ts", *reads}
     narrow = spans.narrowed(wanted)
     gathered = [a for i, k in keys.items() for a in k.aggregates(narrow, f"k{i}_")]
     if dynamic:
@@ -50,19 +54,31 @@ def decide(spans: Spans, sampler, prefix: str = "default", extra: list[Column] =
             c = F.lit(r.tag + r.name)
         rate, keep, reason = F.when(here, a).otherwise(rate), F.when(here, b).otherwise(keep), F.when(here, c).otherwise(reason)
     shape = ["trace_id", "n_descendants", "has_root"]
-    out = fixed.select(*shape, rate.alias("rate"), keep.alias("keep"), reason.alias("reason"), F.lit("").alias("sample_key"), *own)
+    live = [] if history is None else [F.lit(None).cast("string").alias("state"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("int").alias("period")]
+    out = fixed.select(*shape, rate.alias("rate"), keep.alias("keep"), reason.alias("reason"), F.lit("").alias("sample_key"), *own, *live)
+    # rules whose samplers share a state are counted together
+    shared: dict[str, list[int]] = {}
     for i, r in dynamic.items():
-        key, _ = keys[i].key(narrow, f"k{i}_")
-        reached = traces.where(F.col("rule") == i).select(*shape, "ts", F.lit(S.state_key(prefix, r.sampler)).alias("state"), key.alias("key"), *own)
-        done = S.decide(reached, r.sampler)
-        out = out.unionByName(done.select(*shape, "rate", "keep", F.concat(F.lit(f"{r.tag}{r.name}:"), "sampler_reason").alias("reason"), F.col("key").alias("sample_key"), *own))
+        shared.setdefault(S.state_key(prefix, r.sampler), []).append(i)
+    for state, members in shared.items():
+        sampler_ = dynamic[members[0]].sampler
+        key, tag = F.lit(""), F.lit("")
+        for i in members:
+            key = F.when(F.col("rule") == i, keys[i].key(narrow, f"k{i}_")[0]).otherwise(key)
+            tag = F.when(F.col("rule") == i, F.lit(f"{dynamic[i].tag}{dynamic[i].name}:")).otherwise(tag)
+        reached = traces.where(F.col("rule").isin(*members)).select(*shape, "ts", F.lit(state).alias("state"), key.alias("key"), tag.alias("tag"), *own)
+        before = None if history is None else history.where(F.col("period") == S.period_of(sampler_))
+        done = S.decide(reached, sampler_, history=before)
+        live = [] if history is None else ["state", "ts", F.lit(S.period_of(sampler_)).alias("period")]
+        out = out.unionByName(done.select(*shape, "rate", "keep", F.concat("tag", "sampler_reason").alias("reason"), F.col("key").alias("sample_key"), *own, *live))
     return out
 
 
-def _names(extra: list[Column], spans: Spans) -> set[str]:
-    """Fields that extra aggregates may read."""
-    text = " ".join(str(c) for c in extra)
-    return {n for n in spans.names() if n in text}
+def tally(decisions: DataFrame) -> DataFrame:
+    """COUNTS that the dynamic samplers have taken in deciding these traces."""
+    rows = decisions.where("state IS NOT NULL")
+    interval = F.floor(F.unix_timestamp("ts") / F.col("period")).cast("long").alias("interval")
+    return rows.groupBy("state", F.col("sample_key").alias("key"), interval).agg(F.sum("n_descendants").alias("n"), F.min("ts").alias("first"), F.max("period").alias("period"))
 
 
 @dataclass(frozen=True)
@@ -102,7 +118,7 @@ def merged_rates(original: Column, rate: Column, dry_run: bool) -> dict[str, Col
 def kept(spans: Spans, decisions: DataFrame, d: Decoration = Decoration()) -> DataFrame:
     """Spans of kept traces (of all traces in a dry run), decorated. Decisions need the counts where they are asked for.
 
-    An equi-join on trace_id; both sides are already dealt by it when the decisions come from the same spans."""
+    An equi-join on trace_id."""
     rows = decisions if d.dry_run else decisions.where("keep")
     names = [c for c in spans.df.columns]
     joined = spans.df.join(rows.withColumnRenamed("trace_id", "_t"), F.expr("trace_id = _t")).drop("_t")

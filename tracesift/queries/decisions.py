@@ -61,7 +61,7 @@ def flagship(spark, sf_dir):
 def _kept(d: D.Decoration, columns: list[str], rules=RuleSet((Rule("purchases", (C("type", "=", "purchase"),), 2), Rule("rest", None, sampler=S.Deterministic(4)))), late=None):
     def run(spark, sf_dir):
         s = event_spans(spark, sf_dir)
-        decisions = D.decide(s, rules, extra=D.counts())
+        decisions = D.decide(s, rules, extra=D.counts(), reads=("annotation",))
         return D.kept(s, decisions, d).select("event_id", "trace_id", *columns)
 
     return run

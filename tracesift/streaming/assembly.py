@@ -7,6 +7,7 @@ micro-batch by the same plan as in batch, kept in a table, and late records meet
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,9 +17,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from tracesift.operators import timing as T
+from tracesift.plans.decide import tally
 from tracesift.sources.spans import Spans
+from tracesift.streaming.memory import Counts, Decisions
 
-#: Days for which a sent trace is remembered.
+#: For so long a sent trace and the samplers' counts are remembered.
 MEMORY_MS = 24 * 3600 * 1000
 
 
@@ -110,7 +113,7 @@ ADDED = [StructField("send_by_ms", LongType()), StructField("send_reason", Strin
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def assembled(records: DataFrame, timing: T.Timing, replay: str | None = None) -> DataFrame:
+def assembled(records: DataFrame, timing: T.Timing, replay: str | None = None, memory_ms: int = MEMORY_MS) -> DataFrame:
     """The stream of records (trace_id, is_root, at_ms, others) as sent: with send_by_ms, send_reason and late.
 
     ``replay``: how late records may come in a replay by their own times (column ``ts``); a trace is handed on once the
@@ -119,34 +122,56 @@ def assembled(records: DataFrame, timing: T.Timing, replay: str | None = None) -
     schema = records.schema
     if replay is not None:
         records = records.withWatermark("ts", replay)
-    return records.groupBy("trace_id").transformWithStateInPandas(Assembler(schema, timing, replay is not None), StructType([*schema.fields, *ADDED]), "Append", "ProcessingTime" if replay is None else "EventTime")
+    return records.groupBy("trace_id").transformWithStateInPandas(Assembler(schema, timing, replay is not None, memory_ms), StructType([*schema.fields, *ADDED]), "Append", "ProcessingTime" if replay is None else "EventTime")
 
 
-def run(records: DataFrame, timing: T.Timing, decide: Callable[[Spans], DataFrame], out: str, checkpoint: str, replay: str | None = None, trigger: dict | None = None):
+def run(records: DataFrame, timing: T.Timing, decide: Callable[..., DataFrame], out: str, checkpoint: str, replay: str | None = None, trigger: dict | None = None, memory_ms: int = MEMORY_MS):
     """Starts the job: ``out``/decisions gets a row a trace, ``out``/kept the kept records with rate, reason and send_reason.
 
-    ``decide`` is called for each micro-batch, so a reloaded set of rules takes effect with the next one. Each batch's files
-    lie in a folder named by its id and are overwritten when it is repeated, so each record is written once."""
+    ``decide`` is called for each micro-batch, so a reloaded set of rules takes effect with the next one. It gets the batch's spans and, if
+    it takes two arguments, the dynamic samplers' counts so far (``history`` of ``plans.decide.decide``), without which each batch
+    would start them anew. Each batch's files lie in a folder named by its id and are overwritten when it is repeated, so each record
+    is written once. Counts and decisions are remembered for ``memory_ms``, and late records read the decisions of their own time only."""
     spark = records.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    counts, decided = Counts(spark, f"{out}/counts", memory_ms // 1000), Decisions(spark, f"{out}/decisions", memory_ms)
+    live = len(inspect.signature(decide).parameters) > 1
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         try:
-            on_time = batch.where("NOT late")
+            on_time, late = batch.where("NOT late"), batch.where("late")
             arrival = F.struct("at_ms", *[c for c in ("event_id",) if c in batch.columns])
-            decisions = decide(Spans(on_time.withColumn("arrival", arrival)))
-            decisions = decisions.join(on_time.groupBy("trace_id").agg(F.first("send_reason").alias("send_reason")), "trace_id")
-            decisions.write.mode("overwrite").parquet(f"{out}/decisions/epoch={epoch}")
-            known = spark.read.option("basePath", f"{out}/decisions").parquet(f"{out}/decisions").select("trace_id", "rate", "keep", "reason")
-            kept = batch.join(known.where("keep"), "trace_id")
-            reason = F.when(F.col("late"), F.concat("reason", F.lit(f" - {T.LATE_REASON}"))).otherwise(F.col("reason"))
-            kept.withColumn("reason", reason).drop("keep").write.mode("overwrite").parquet(f"{out}/kept/epoch={epoch}")
+            spans = Spans(on_time.withColumn("arrival", arrival))
+            decisions = decide(spans, counts.before(epoch)) if live else decide(spans)
+            due = on_time.groupBy("trace_id").agg(F.first("send_reason").alias("send_reason"), F.first("send_by_ms").alias("send_by_ms"))
+            decisions = decisions.join(due, "trace_id").persist()
+            try:
+                decided.add(epoch, decisions)
+                if live:
+                    counts.add(epoch, tally(decisions))
+                result = ["trace_id", "rate", "keep", "reason"]
+                kept = on_time.join(decisions.select(*result).where("keep"), "trace_id")
+                known = decided.of(late)
+                if known is not None:
+                    again = late.join(known.select(*result).where("keep").dropDuplicates(["trace_id"]), "trace_id")
+                    kept = kept.unionByName(again.withColumn("reason", F.concat("reason", F.lit(f" - {T.LATE_REASON}"))))
+                kept.drop("keep").write.mode("overwrite").parquet(f"{out}/kept/epoch={epoch}")
+            finally:
+                decisions.unpersist()
         finally:
             batch.unpersist()
 
-    writer = assembled(records, timing, replay).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
-    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, STATE_STORE)  # a query takes it up as it starts
+    try:
+        writer = assembled(records, timing, replay, memory_ms).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+        return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
 
 
 def kept(spark: SparkSession, out: str) -> DataFrame:
