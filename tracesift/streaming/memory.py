@@ -25,8 +25,14 @@ def delete(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: So many intervals of a sampler are remembered at least, however long they are.
+LEAST_INTERVALS = 64
+
+
 class Counts:
-    """Snapshots of the dynamic samplers' counts, by batch. A repeated batch reads what it read the first time."""
+    """Snapshots of the dynamic samplers' counts, by batch. A repeated batch reads what it read the first time.
+
+    Intervals are forgotten after ``memory_s``, but for the last LEAST_INTERVALS: a moving average has long aged by then."""
 
     def __init__(self, spark: SparkSession, at: str, memory_s: int):
         self.spark, self.at, self.memory_s = spark, at, memory_s
@@ -45,7 +51,8 @@ class Counts:
         names = ["state", "key", "interval"]
         every = self.before(epoch).unionByName(new).groupBy(*names).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("period").alias("period"))
         newest = every.groupBy("state").agg(F.max("interval").alias("_last"))
-        kept = every.join(newest, "state").where((F.col("_last") - F.col("interval")) * F.col("period") <= self.memory_s).drop("_last")
+        age = F.col("_last") - F.col("interval")
+        kept = every.join(newest, "state").where((age * F.col("period") <= self.memory_s) | (age < LEAST_INTERVALS)).drop("_last")
         kept.write.mode("overwrite").parquet(f"{self.at}/epoch={epoch}")
         for old in [e for e in self._epochs() if e < epoch][:-1]:
             delete(self.spark, f"{self.at}/epoch={old}")
