@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracesift.functions import re2
 from tracesift.functions import values as V
 
 ROOT = "root."
@@ -109,8 +113,7 @@ def compile_test(c: Condition) -> Test:
         found = lambda kind, x: text(kind, x).contains(wanted)
         return found if op == "contains" else lambda kind, x: ~found(kind, x)
     if op == "matches":
-        pattern = V.plain_text(value)
-        check_pattern(pattern)
+        pattern = check_pattern(V.plain_text(value))
         return lambda kind, x: text(kind, x).rlike(pattern)
     if op in ("in", "not-in"):
         if isinstance(value, (list, tuple)):
@@ -156,16 +159,18 @@ def compile_test(c: Condition) -> Test:
     return _untyped(op, value)
 
 
-def check_pattern(pattern: str) -> None:
-    """Raises ConditionError for patterns outside the common linear-time syntax: back references and look-around."""
-    import re
-
+def check_pattern(pattern: str) -> str:
+    """The pattern for Spark's engine. Raises ConditionError for what isn't in RE2's syntax."""
     try:
-        re.compile(pattern)
-    except re.error as e:
-        raise ConditionError(f"bad pattern {pattern!r}: {e}") from e
-    if re.search(r"(?<!\\)(?:\\\\)*(\\[1-9]|\(\?<?[=!])", pattern):
-        raise ConditionError(f"pattern {pattern!r} has a back reference or looks around")
+        translated = re2.java(pattern)
+    except re2.PatternError as e:
+        raise ConditionError(str(e)) from e
+    if (session := SparkContext._active_spark_context) is not None:  # names of Unicode classes are known to the engine alone
+        try:
+            session._jvm.java.util.regex.Pattern.compile(translated)
+        except (Py4JJavaError, IllegalArgumentException) as e:
+            raise ConditionError(f"bad pattern {pattern!r}") from e
+    return translated
 
 
 #: Variant types by kind. Numbers of JSON are floats.

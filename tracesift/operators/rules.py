@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tracesift.functions import values as V
 from tracesift.operators.conditions import DESCENDANTS, ROOT, Condition, Field, evaluate
-from tracesift.sources.spans import Spans
+from tracesift.sources.spans import Spans, json_path, member
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def matches(spans: Spans, rules: RuleSet, extra: list[Column] = ()) -> DataFrame
             if own in typed:
                 return Field(s.field(own).kind, F.col(f"{at}.`{own}`"))
             if s.payload and s.payload in carried:
-                return Field("variant", F.try_variant_get(F.col(f"{at}.`{s.payload}`"), f"$['{own}']", "variant"))
+                return Field("variant", member(F.col(f"{at}.`{s.payload}`"), own))
             return None
 
         return resolve
@@ -88,7 +88,7 @@ def matches(spans: Spans, rules: RuleSet, extra: list[Column] = ()) -> DataFrame
             return None
         if c.fields and c.fields[-1].startswith(ROOT):
             text = F.coalesce(F.to_json(F.col(f"_root.`{s.payload}`")), F.to_json(F.col(s.payload))) if s.payload in carried else F.to_json(F.col(s.payload))
-            return lambda path: F.get_json_object(text, "$." + path)
+            return lambda path: F.get_json_object(text, json_path(path))
         return s.nested
 
     early, late = {}, {}

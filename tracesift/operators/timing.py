@@ -99,10 +99,11 @@ def impacts(spans: Spans, size: Column, now: Column, timeout_s: int) -> DataFram
 def evicted(traces: DataFrame, target: int, buckets: int = 64) -> DataFrame:
     """Heaviest traces first until more than ``target`` bytes are sent: trace_id, bytes, impact, before.
 
-    The prefix sum runs in two steps, over impact ranges and within one, so no task sorts all traces."""
-    limits = traces.agg(F.max("impact")).first()[0] or 0
-    step = max(1, limits // buckets)
-    ranged = traces.withColumn("_b", F.floor(F.col("impact") / step).cast("int"))
+    The prefix sum runs in two steps, over ranges of impact and within one. Ranges lie between quantiles, so they hold about
+    as many traces each, however the impacts are spread; only traces of one and the same impact can't be parted."""
+    steps = traces.agg(F.percentile_approx("impact", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
+    edges = F.array(*[F.lit(x) for x in sorted(set(steps))]).cast("array<long>")
+    ranged = traces.withColumn("_b", F.size(F.filter(edges, lambda x: x <= F.col("impact"))))
     sums = ranged.groupBy("_b").agg(F.sum("bytes").alias("_s"))
     above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sums = sums.select("_b", F.coalesce(F.sum("_s").over(above), F.lit(0)).alias("_start"))

@@ -41,6 +41,16 @@ class TraceKey:
             return F.when(place.value.isNull(), None).when(F.is_variant_null(place.value), V.MISSING).when(shape.rlike("^(BIGINT|DOUBLE|DECIMAL)"), V.text_fixed("double", number)).when(shape.startswith("STRING"), F.try_variant_get(place.value, "$", "string")).otherwise(F.to_json(place.value))
         return V.text_fixed(place.kind, place.value)
 
+    def _root_text(self, spans: Spans, name: str) -> Column:
+        """A root's value as text; of a schemaless record by the type that it has there."""
+        place = spans.field(name)
+        if place.kind != "variant":
+            return V.text_general(place.kind, place.value)
+        shape, typed = F.schema_of_variant(place.value), lambda kind: F.try_variant_get(place.value, "$", kind)
+        out = F.when(place.value.isNull(), None).when(F.is_variant_null(place.value), V.MISSING)
+        out = out.when(shape.rlike("^(BIGINT|DOUBLE|DECIMAL)"), V.text_general("double", typed("double")))
+        return out.when(shape.startswith("STRING"), typed("string")).otherwise(F.to_json(place.value))
+
     def aggregates(self, spans: Spans, prefix: str) -> list[Column]:
         """What a trace must gather, as aggregates."""
         out = []
@@ -49,8 +59,7 @@ class TraceKey:
             if text is not None:
                 seen = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("arrival", text.alias("t"))))) if self.by_arrival else None
                 out.append((F.collect_set(text) if seen is None else F.array_distinct(F.transform(seen, lambda x: x["t"]))).alias(f"{prefix}v{i}"))
-        roots = [n for n in self.of_root() if spans.field(n) is not None]
-        values = [V.text_general(spans.field(n).kind, spans.field(n).value).alias(n) for n in roots if spans.field(n).kind != "variant"]
+        values = [self._root_text(spans, n).alias(f"r{k}") for k, n in enumerate(self.of_root()) if spans.field(n) is not None]
         if values:
             out.append(F.max_by(F.struct(*values), F.when(F.col("is_root"), F.col("arrival"))).alias(f"{prefix}root"))
         return out
@@ -71,11 +80,10 @@ class TraceKey:
             taken = taken + F.size(values)
             parts.append(F.when(F.size(values) > 0, F.concat(F.array_join(values, "•"), F.lit("•,"))).otherwise(""))
             counts.append(F.size(values))
-        for name in self.of_root():
-            place = spans.field(name)
-            if place is None or place.kind == "variant":
+        for k, name in enumerate(self.of_root()):
+            if spans.field(name) is None:
                 continue
-            value = F.col(f"{prefix}root.`{name}`")
+            value = F.col(f"{prefix}root.r{k}")
             parts.append(F.when(value.isNotNull(), F.concat(value, F.lit(","))).otherwise(""))
             counts.append(F.when(value.isNotNull(), 1).otherwise(0))
         if self.length:

@@ -106,6 +106,43 @@ def _otlp(spark, sf_dir):
     return out.groupBy("trace_id").agg(F.count("*").alias("n"), F.count_if("is_root").alias("n_roots"), F.sum("duration_ms").alias("ms"), F.count_if(F.col("attributes")["flag"] == "R").alias("n_returned"))
 
 
+def _scope_body(items: str, records, resource):
+    """One request body of a resource with one scope."""
+    kinds = {"spans": ("resourceSpans", "scopeSpans"), "logRecords": ("resourceLogs", "scopeLogs")}[items]
+    scope = F.struct(F.struct(F.lit("lib").alias("name")).alias("scope"), records.alias(items))
+    return F.to_json(F.struct(F.array(F.struct(F.struct(resource.alias("attributes")).alias("resource"), F.array(scope).alias(kinds[1]))).alias(kinds[0])))
+
+
+def _attribute(key: str, kind: str, value):
+    return F.struct(F.lit(key).alias("key"), F.struct(value.alias(kind)).alias("value"))
+
+
+_NANOS = 1704067200000000000
+
+
+def _otlp_events(spark, sf_dir):
+    """Spans with events and links, each counted by trace and kind; attributes keep their types."""
+    l = line_spans(spark, sf_dir).df
+    attributes = lambda kind, value: F.array(F.struct(F.lit("n").alias("key"), F.struct(value.cast("string").alias(kind)).alias("value")), F.struct(F.lit("n").alias("key"), F.struct((value + 1).cast("string").alias(kind)).alias("value")))
+    event = F.struct((F.lit(_NANOS) + F.col("line") * 1_000_000).cast("string").alias("timeUnixNano"), F.col("flag").alias("name"), attributes("intValue", F.col("line")).alias("attributes"))
+    link = F.struct(F.col("supplier").cast("string").alias("traceId"), F.lit("s").alias("spanId"), attributes("doubleValue", F.col("line")).alias("attributes"))
+    span = F.struct(F.col("trace_id").alias("traceId"), F.col("line").cast("string").alias("spanId"), F.when(~F.col("is_root"), F.lit("p")).alias("parentSpanId"), F.lit(str(_NANOS)).alias("startTimeUnixNano"), F.lit("soon").alias("endTimeUnixNano"), attributes("intValue", F.col("line")).alias("attributes"), F.array_repeat(event, F.pmod("line", F.lit(3)).cast("int")).alias("events"), F.when(F.col("flag") == "R", F.array(link)).alias("links"))
+    body = l.groupBy((F.col("part") % 64).alias("request")).agg(_scope_body("spans", F.collect_list(span), F.array(_attribute("n", "intValue", F.lit("1000")))).alias("body"))
+    out = bodies.otlp_traces(body, "body")
+    number = F.try_variant_get("payload", "$.n", "long")
+    return out.groupBy("trace_id", "annotation").agg(F.count("*").alias("n"), F.count_if("is_root").alias("n_roots"), F.sum(number).alias("total"), F.sum(F.unix_millis("ts") - F.lit(_NANOS // 1_000_000)).alias("ms"), F.count("duration_ms").alias("n_timed"), F.count("link_trace_id").alias("n_linked"))
+
+
+def _otlp_logs(spark, sf_dir):
+    """Log records of users' days, by severity; some have no time but that of their observation, some a body that is a number."""
+    e = event_spans(spark, sf_dir).df
+    nanos = (F.unix_micros("ts") * 1000).cast("string")
+    log = F.struct(F.when(F.col("event_id") % 2 == 0, nanos).alias("timeUnixNano"), nanos.alias("observedTimeUnixNano"), F.col("trace_id").alias("traceId"), F.col("type").alias("severityText"), F.struct(F.when(F.col("event_id") % 3 > 0, F.col("type")).alias("stringValue"), F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).alias("intValue")).alias("body"), F.array(F.struct(F.lit("k").alias("key"), F.struct(F.col("k").cast("string").alias("intValue")).alias("value"))).alias("attributes"))
+    body = e.groupBy((F.col("event_id") % 50).alias("request")).agg(_scope_body("logRecords", F.collect_list(log), F.array(_attribute("host", "stringValue", F.first("type")))).alias("body"))
+    out = bodies.otlp_logs(body, "body")
+    return out.groupBy("trace_id", "severity").agg(F.count("*").alias("n"), F.sum(F.unix_millis("ts")).alias("ms"), F.sum(F.try_variant_get("payload", "$.k", "long")).alias("k"), F.sum(F.col("body").try_cast("long")).alias("numbers"), F.count_if("is_root").alias("n_roots"))
+
+
 QUERIES = {
     "extract_ids": (lambda spark, sf_dir: _ids(spark, sf_dir).select("event_id", "trace"), f"SELECT event_id, trace FROM ({_IDS})"),
     "root_flag": (lambda spark, sf_dir: _ids(spark, sf_dir).select("event_id", "root"), f"SELECT event_id, root FROM ({_IDS})"),
@@ -127,6 +164,16 @@ QUERIES = {
     "dataset_unescape": (lambda spark, sf_dir: table(spark, sf_dir, "nation").select("n_nationkey", bodies.dataset_of(F.concat(F.lit("/1/batch/"), F.regexp_replace("n_name", " ", "%20"))).alias("dataset")), "SELECT n_nationkey, n_name AS dataset FROM nation"),
     "batch_bodies": (_batch_bodies, f"WITH {EVENTS} SELECT event_id, type, CASE WHEN sample_rate > 0 THEN sample_rate ELSE 1 END AS sample_rate, epoch_us(ts) // 1000 AS ms FROM e"),
     "otlp_traces": (_otlp, f"WITH {LINES} SELECT trace_id, count(*) AS n, count(*) FILTER (is_root) AS n_roots, 1500.0::DOUBLE * count(*) AS ms, count(*) FILTER (flag = 'R') AS n_returned FROM l GROUP BY trace_id"),
+    "otlp_events": (
+        _otlp_events,
+        f"""WITH {LINES}, x AS (SELECT trace_id, '' AS annotation, line, is_root, 0 AS ms, 0 AS linked FROM l UNION ALL SELECT trace_id, 'span_event', line, false, line, 0 FROM (SELECT *, unnest(range(line % 3)) FROM l)
+UNION ALL SELECT trace_id, 'link', line, false, 0, 1 FROM l WHERE flag = 'R')
+SELECT trace_id, annotation, count(*) AS n, count(*) FILTER (is_root) AS n_roots, CAST(sum(line + 1) AS BIGINT) AS total, CAST(sum(ms) AS BIGINT) AS ms, CAST(0 AS BIGINT) AS n_timed, CAST(sum(linked) AS BIGINT) AS n_linked FROM x GROUP BY ALL""",
+    ),
+    "otlp_logs": (
+        _otlp_logs,
+        f"WITH {EVENTS} SELECT trace_id, type AS severity, count(*) AS n, CAST(sum(epoch_us(ts) // 1000) AS BIGINT) AS ms, CAST(sum(k) AS BIGINT) AS k, CAST(sum(event_id) FILTER (event_id % 3 = 0) AS BIGINT) AS numbers, CAST(0 AS BIGINT) AS n_roots FROM e GROUP BY ALL",
+    ),
     "unknown_traces": (
         lambda spark, sf_dir: table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("trace_id")).join(line_spans(spark, sf_dir).df, "trace_id", "left_anti"),
         f"WITH {LINES} SELECT CAST(o_orderkey AS VARCHAR) AS trace_id FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT trace_id FROM l)",

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from tracesift.functions.fields import event_time
 
-_ATTRIBUTES = "ARRAY<STRUCT<key: STRING, value: STRUCT<stringValue: STRING, intValue: STRING, doubleValue: DOUBLE, boolValue: BOOLEAN>>>"
-_SPAN = f"STRUCT<traceId: STRING, spanId: STRING, parentSpanId: STRING, name: STRING, startTimeUnixNano: STRING, endTimeUnixNano: STRING, attributes: {_ATTRIBUTES}>"
+_SCALAR = "stringValue: STRING, intValue: STRING, doubleValue: STRING, boolValue: BOOLEAN, bytesValue: STRING"
+_ITEM = f"STRUCT<{_SCALAR}>"
+_VALUE = f"STRUCT<{_SCALAR}, arrayValue: STRUCT<values: ARRAY<{_ITEM}>>, kvlistValue: STRUCT<values: ARRAY<STRUCT<key: STRING, value: {_ITEM}>>>>"
+_ATTRIBUTES = f"ARRAY<STRUCT<key: STRING, value: {_VALUE}>>"
+_EVENT = f"STRUCT<timeUnixNano: STRING, name: STRING, attributes: {_ATTRIBUTES}>"
+_LINK = f"STRUCT<traceId: STRING, spanId: STRING, attributes: {_ATTRIBUTES}>"
+_SPAN = f"STRUCT<traceId: STRING, spanId: STRING, parentSpanId: STRING, name: STRING, kind: STRING, status: STRUCT<code: STRING, message: STRING>, startTimeUnixNano: STRING, endTimeUnixNano: STRING, attributes: {_ATTRIBUTES}, events: ARRAY<{_EVENT}>, links: ARRAY<{_LINK}>>"
 TRACES = f"STRUCT<resourceSpans: ARRAY<STRUCT<resource: STRUCT<attributes: {_ATTRIBUTES}>, scopeSpans: ARRAY<STRUCT<scope: STRUCT<name: STRING>, spans: ARRAY<{_SPAN}>>>>>>"
-_LOG = f"STRUCT<timeUnixNano: STRING, traceId: STRING, spanId: STRING, severityText: STRING, body: STRUCT<stringValue: STRING>, attributes: {_ATTRIBUTES}>"
+_LOG = f"STRUCT<timeUnixNano: STRING, observedTimeUnixNano: STRING, traceId: STRING, spanId: STRING, severityText: STRING, body: {_VALUE}, attributes: {_ATTRIBUTES}>"
 LOGS = f"STRUCT<resourceLogs: ARRAY<STRUCT<resource: STRUCT<attributes: {_ATTRIBUTES}>, scopeLogs: ARRAY<STRUCT<scope: STRUCT<name: STRING>, logRecords: ARRAY<{_LOG}>>>>>>"
 
 
@@ -50,25 +55,88 @@ def statuses(requests: DataFrame, body: str, refused: Column) -> DataFrame:
     return items.select(*rest, "position", F.when(F.col("item.data").isNull(), 400).when(refused, 429).otherwise(202).alias("status"))
 
 
-def _map(attributes: Column) -> Column:
-    value = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
-    return F.map_from_entries(F.transform(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: F.struct(a["key"], value(a["value"]))))
+def _item(v: Column) -> Column:
+    """A scalar as a variant of its own type; null where it has none, or isn't what it says."""
+    typed = (v["stringValue"], v["intValue"].try_cast("long"), v["doubleValue"].try_cast("double"), v["boolValue"], v["bytesValue"])
+    return F.coalesce(*[c.cast("variant") for c in typed])
+
+
+def _entries(attributes: Column, value) -> Column:
+    """Key and value of each attribute; of a key that comes more than once the last, and none without key or value."""
+    known = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: a["key"].isNotNull() & a["value"].isNotNull())
+    keys = F.transform(known, lambda a: a["key"])
+    last = F.filter(known, lambda a, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), a["key"]))
+    return F.filter(F.transform(last, lambda a: F.struct(a["key"].alias("key"), value(a["value"]).alias("value"))), lambda e: e["value"].isNotNull())
+
+
+def _value(v: Column) -> Column:
+    inner = v["kvlistValue"]["values"]
+    pairs = F.filter(inner, lambda a, i: a["key"].isNotNull() & ~F.exists(F.slice(inner, i + 2, F.size(inner)), lambda b: b["key"] == a["key"]))
+    object_ = F.to_variant_object(F.map_from_entries(F.transform(pairs, lambda a: F.struct(a["key"].alias("key"), _item(a["value"]).alias("value")))))
+    return F.coalesce(_item(v), F.transform(v["arrayValue"]["values"], _item).cast("variant"), object_)
+
+
+def _text(v: Column) -> Column:
+    return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].try_cast("double").cast("string"), v["boolValue"].cast("string"), v["bytesValue"], F.to_json(_value(v)))
+
+
+def _texts(attributes: Column) -> Column:
+    """Attributes as a map of texts."""
+    return F.map_from_entries(_entries(attributes, _text))
+
+
+def _payload(*attributes: Column) -> Column:
+    """Attributes with their types as one variant object; where lists share a key, the later one's counts."""
+    joined = attributes[0]
+    for more in attributes[1:]:
+        joined = F.concat(F.coalesce(joined, F.array().cast(_ATTRIBUTES)), F.coalesce(more, F.array().cast(_ATTRIBUTES)))
+    return F.to_variant_object(F.map_from_entries(_entries(joined, _value)))
+
+
+def _nanos(c: Column) -> Column:
+    """A time in nanoseconds; null where it is missing, unreadable or 0."""
+    n = c.try_cast("long")
+    return F.when(n != 0, F.timestamp_micros(F.call_function("div", n, F.lit(1000).cast("long"))))
 
 
 def otlp_traces(requests: DataFrame, body: str) -> DataFrame:
-    """A row for each span: resource and scope, ids, name, ts, duration_ms, attributes, is_root, signal."""
+    """A row for each span, and for each of its events and links (``annotation``: empty, ``span_event`` or ``link``).
+
+    resource and attributes (maps of texts), payload (the resource's, then the record's own attributes with their types, as a variant),
+    library, trace_id, span_id, parent_id, name, kind, status_code, status_message, ts, duration_ms, link_trace_id, link_span_id,
+    is_root, signal. Events and links belong to their span (parent_id) and are never roots; a link takes its span's
+    time. Unreadable times are null, of repeated attribute keys the last one counts, and unreadable bodies give no row."""
     r = requests.select(F.from_json(body, TRACES).alias("b")).select(F.explode("b.resourceSpans").alias("r"))
     s = r.select(F.col("r.resource.attributes").alias("ra"), F.explode("r.scopeSpans").alias("s")).select("ra", F.col("s.scope.name").alias("library"), F.explode("s.spans").alias("x"))
-    start, end = F.col("x.startTimeUnixNano").cast("long"), F.col("x.endTimeUnixNano").cast("long")
+    none = F.lit(None).cast("string")
+
+    def record(annotation: str, **own: Column) -> Column:
+        fields = {"annotation": F.lit(annotation), "span_id": none, "parent_id": none, "name": none, "kind": none, "status_code": none, "status_message": none, "at": none, "end": none, "link_trace_id": none, "link_span_id": none, "attributes": F.array().cast(_ATTRIBUTES)}
+        return F.struct(*[c.alias(n) for n, c in (fields | own).items()])
+
+    x = lambda n: F.col(f"x.{n}")
+    span = record("", span_id=x("spanId"), parent_id=x("parentSpanId"), name=x("name"), kind=x("kind"), status_code=x("status.code"), status_message=x("status.message"), at=x("startTimeUnixNano"), end=x("endTimeUnixNano"), attributes=x("attributes"))
+    events = F.transform(x("events"), lambda e: record("span_event", parent_id=x("spanId"), name=e["name"], at=e["timeUnixNano"], attributes=e["attributes"]))
+    links = F.transform(x("links"), lambda k: record("link", parent_id=x("spanId"), at=x("startTimeUnixNano"), link_trace_id=k["traceId"], link_span_id=k["spanId"], attributes=k["attributes"]))
+    empty = F.array().cast("array<" + s.select(span.alias("y")).schema["y"].dataType.simpleString() + ">")
+    s = s.select("ra", "library", x("traceId").alias("trace_id"), F.explode(F.concat(F.array(span), F.coalesce(events, empty), F.coalesce(links, empty))).alias("y"))
+    y = lambda n: F.col(f"y.{n}")
     return s.select(
-        _map(F.col("ra")).alias("resource"), "library", F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"), F.col("x.parentSpanId").alias("parent_id"), F.col("x.name").alias("name"),
-        F.timestamp_micros(F.floor(start / 1000).cast("long")).alias("ts"), ((end - start) / 1e6).alias("duration_ms"), _map(F.col("x.attributes")).alias("attributes"),
-        (F.coalesce(F.col("x.parentSpanId"), F.lit("")) == "").alias("is_root"), F.lit("trace").alias("signal"),
+        _texts(F.col("ra")).alias("resource"), "library", "trace_id", y("span_id").alias("span_id"), y("parent_id").alias("parent_id"), y("name").alias("name"), y("kind").alias("kind"), y("status_code").alias("status_code"), y("status_message").alias("status_message"),
+        _nanos(y("at")).alias("ts"), ((y("end").try_cast("long") - y("at").try_cast("long")) / 1e6).alias("duration_ms"), _texts(y("attributes")).alias("attributes"), _payload(F.col("ra"), y("attributes")).alias("payload"),
+        y("annotation").alias("annotation"), y("link_trace_id").alias("link_trace_id"), y("link_span_id").alias("link_span_id"),
+        ((y("annotation") == "") & (F.coalesce(y("parent_id"), F.lit("")) == "")).alias("is_root"), F.lit("trace").alias("signal"),
     )
 
 
 def otlp_logs(requests: DataFrame, body: str) -> DataFrame:
-    """A row for each log record; logs are never roots."""
+    """A row for each log record: resource, library, trace_id, parent_id, severity, body (text), ts, attributes, payload, is_root, signal.
+
+    Logs are never roots. A record without a time has the time at which it was observed."""
     r = requests.select(F.from_json(body, LOGS).alias("b")).select(F.explode("b.resourceLogs").alias("r"))
     s = r.select(F.col("r.resource.attributes").alias("ra"), F.explode("r.scopeLogs").alias("s")).select("ra", F.col("s.scope.name").alias("library"), F.explode("s.logRecords").alias("x"))
-    return s.select(_map(F.col("ra")).alias("resource"), "library", F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("parent_id"), F.col("x.severityText").alias("severity"), F.col("x.body.stringValue").alias("body"), F.timestamp_micros(F.floor(F.col("x.timeUnixNano").cast("long") / 1000).cast("long")).alias("ts"), _map(F.col("x.attributes")).alias("attributes"), F.lit(False).alias("is_root"), F.lit("log").alias("signal"))
+    return s.select(
+        _texts(F.col("ra")).alias("resource"), "library", F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("parent_id"), F.col("x.severityText").alias("severity"), _text(F.col("x.body")).alias("body"),
+        F.coalesce(_nanos(F.col("x.timeUnixNano")), _nanos(F.col("x.observedTimeUnixNano"))).alias("ts"), _texts(F.col("x.attributes")).alias("attributes"), _payload(F.col("ra"), F.col("x.attributes")).alias("payload"),
+        F.lit(False).alias("is_root"), F.lit("log").alias("signal"),
+    )

@@ -5,9 +5,10 @@ Envelope columns (api_key, dataset, environment, sample_rate, annotation, ts) ar
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.functions.values import kind_of
@@ -17,6 +18,13 @@ from tracesift.operators.conditions import ROOT, Field
 ENVELOPE = ("trace_id", "is_root", "arrival")
 
 
+def member(payload: Column, name: str) -> Column:
+    """The variant under a key of a variant object, whatever signs the key has; null where it's missing."""
+    if "'" in name or "\\" in name:
+        return F.try_variant_get(payload, "$", "map<string,variant>")[name]
+    return F.try_variant_get(payload, f"$['{name}']", "variant")
+
+
 @dataclass(frozen=True)
 class Spans:
     """A span frame. ``payload``: a variant column with further fields, for schemaless records."""
@@ -32,13 +40,12 @@ class Spans:
             c = F.col(f"`{name}`")
             return Field(kind_of(self.df.schema[name].dataType), c)
         if self.payload:
-            c = F.try_variant_get(F.col(self.payload), f"$['{name}']", "variant")
-            return Field("variant", c)
+            return Field("variant", member(F.col(self.payload), name))
         return None
 
     def nested(self, name: str):
         """Text at a dotted path of the payload."""
-        return F.get_json_object(F.to_json(F.col(self.payload)), "$." + name) if self.payload else None
+        return F.get_json_object(F.to_json(F.col(self.payload)), json_path(name)) if self.payload else None
 
     def narrowed(self, fields: set[str]) -> Spans:
         """Only the envelope and the fields asked for, so that the scan reads no more."""
@@ -47,6 +54,12 @@ class Spans:
         return Spans(self.df.select(*[F.col(f"`{c}`") for c in keep]), self.payload if self.payload in keep else None)
 
 
+def json_path(name: str) -> str:
+    """A dotted path as JSONPath; parts with signs of its syntax are bracketed."""
+    parts = [p if re.fullmatch(r"\w+", p) else f"['{p}']" for p in name.split(".")]
+    return "$" + "".join(p if p.startswith("[") else f".{p}" for p in parts)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
