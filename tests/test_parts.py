@@ -54,15 +54,16 @@ def test_version_1():
     assert known["api"].rules[0].conditions[0].fields == ("a",)
 
 
-KEYS = [("all", "key1", "", "sendkey"), ("all", "", "", "sendkey"), ("listedonly", "key1", "", "sendkey"), ("listedonly", "userkey", "", "userkey"), ("listedonly", "", "", None), ("listedonly", "unknownkey", "kid1", "sendkey"), ("missingonly", "userkey", "", "userkey"), ("missingonly", "", "", "sendkey"), ("unlisted", "key1", "", "key1"), ("unlisted", "userkey", "", "sendkey"), ("unlisted", "", "", None), ("unlisted", "unknownkey", "kid1", "unknownkey"), ("none", "userkey", "", "userkey")]
-
-
 def test_keys(spark):
-    df = spark.createDataFrame([(m, k, i, w) for m, k, i, w in KEYS], "m string, k string, i string, w string")
-    for mode in {m for m, *_ in KEYS}:
-        got = df.where(F.col("m") == mode).select(X.replace_key(F.col("k"), mode, "sendkey", ["key1"], F.col("i"), ["kid1"]).alias("g"), "w").collect()
-        assert [r.g for r in got] == [r.w for r in got]
-    legacy = spark.createDataFrame([("a1a1a1a1a1a1a1a1a1a1a1a1a1a1a1a1",), ("hcaic_" + "1" * 58,), ("c9945edf5d245834089a1bd6cc9ad01e1",), ("",), (None,)], "k string")
+    """Every mode with a blank, a listed and a foreign key, known by itself or by its id."""
+    keys = {"": True, "listed-one": True, "foreign": False}
+    rows = [(k, i, k in ("listed-one",) or i == "id-listed") for k in keys for i in ("", "id-listed", "id-foreign")]
+    swapped = {"none": lambda k, known: False, "all": lambda k, known: True, "nonblank": lambda k, known: k != "", "listedonly": lambda k, known: known, "missingonly": lambda k, known: k == "", "unlisted": lambda k, known: k != "" and not known}
+    df = spark.createDataFrame(rows, "k string, i string, known boolean")
+    for mode, swap in swapped.items():
+        got = df.select("k", "i", "known", X.replace_key(F.col("k"), mode, "ours", ["listed-one"], F.col("i"), ["id-listed"]).alias("g")).collect()
+        assert [r.g for r in got] == [("ours" if swap(r.k, r.known) else r.k) or None for r in got], mode
+    legacy = spark.createDataFrame([("0f" * 16,), ("hcaic_" + "z9" * 29,), ("0f" * 16 + "0",), ("",), (None,)], "k string")
     assert [r[0] for r in legacy.select(X.is_legacy_key(F.col("k"))).collect()] == [True, True, False, False, False]
 
 
@@ -81,6 +82,28 @@ def test_bodies(spark):
     assert [r.sample_rate for r in bodies.single(one, "body", rate="rate").collect()] == [1]
 
 
+def test_otlp(spark):
+    """Attributes keep their types; repeated keys, unreadable times, lists and missing parts spoil nothing."""
+    value = lambda **v: dict(v)
+    attributes = [("n", value(intValue="200")), ("x", value(doubleValue=2.5)), ("ok", value(boolValue=True)), ("s", value(stringValue='a "b"')), ("n", value(intValue=404)), ("l", value(arrayValue={"values": [value(intValue="1"), value(stringValue="z")]})), ("o", value(kvlistValue={"values": [{"key": "in", "value": value(intValue="3")}]})), ("bad", value(intValue="many")), (None, value(intValue="1")), ("none", None)]
+    listed = [{"key": k, "value": v} for k, v in attributes]
+    span = {"traceId": "t", "spanId": "s", "name": "GET", "kind": 2, "status": {"code": 2, "message": "no"}, "startTimeUnixNano": "1700000000123456789", "endTimeUnixNano": "never", "attributes": listed, "events": [{"timeUnixNano": "1700000001000000000", "name": "retry", "attributes": [{"key": "try", "value": {"intValue": "2"}}]}, {}], "links": [{"traceId": "u", "spanId": "v"}]}
+    body = lambda *spans: json.dumps({"resourceSpans": [{"resource": {"attributes": [{"key": "n", "value": {"intValue": "1"}}, {"key": "host", "value": {"stringValue": "h"}}]}, "scopeSpans": [{"scope": {"name": "lib"}, "spans": list(spans)}]}]})
+    df = spark.createDataFrame([(body(span),), (body({"spanId": "w", "parentSpanId": "s"}),), ("no json",), ("{}",), (None,)], "body string")
+    rows = bodies.otlp_traces(df, "body").withColumn("payload", F.to_json("payload")).collect()
+    assert sorted((r.annotation, r.is_root, r.parent_id) for r in rows) == [("", False, "s"), ("", True, None), ("link", False, "s"), ("span_event", False, "s"), ("span_event", False, "s")]
+    root = next(r for r in rows if r.is_root)
+    assert json.loads(root.payload) == {"host": "h", "n": 404, "x": 2.5, "ok": True, "s": 'a "b"', "l": [1, "z"], "o": {"in": 3}}
+    assert root.attributes["n"] == "404" and root.attributes["x"] == "2.5" and json.loads(root.attributes["l"]) == [1, "z"] and root.resource == {"n": "1", "host": "h"}
+    assert (root.kind, root.status_code, root.status_message, root.duration_ms, root.ts.microsecond) == ("2", "2", "no", None, 123456)
+    event = next(r for r in rows if r.name == "retry")
+    assert json.loads(event.payload) == {"n": 1, "host": "h", "try": 2} and next(r for r in rows if r.annotation == "link").link_trace_id == "u"
+    log = {"traceId": "t", "timeUnixNano": "0", "observedTimeUnixNano": "1700000000000000000", "severityText": "WARN", "body": {"intValue": "7"}, "attributes": listed}
+    logs = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [log, {"body": {"stringValue": "b"}, "timeUnixNano": "x"}]}]}]})
+    got = bodies.otlp_logs(spark.createDataFrame([(logs,), ("[",)], "body string"), "body").withColumn("payload", F.to_json("payload")).orderBy("body").collect()
+    assert [(r.body, r.severity, r.ts is None, r.is_root) for r in got] == [("7", "WARN", False, False), ("b", None, True, False)] and json.loads(got[0].payload)["n"] == 404
+
+
 def test_batches_split_by_size(spark):
     df = spark.createDataFrame([("d", 0, 0, i, i, s) for i, s in enumerate([40, 40, 200, 40])], "destination string, slot long, batch long, arrival int, id long, size long")
     got = {r.id: r.part for r in size_limited(df, 100, 100).collect()}

@@ -1,6 +1,7 @@
 """Rules over small traces of schemaless records, and decisions."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,66 +28,108 @@ def rule(*conditions, rate=10, drop=False, scope="trace", name="x", sampler=None
     return Rule(name, conditions or None, rate, drop, scope, sampler)
 
 
-#: (rules, one trace, expected rate, expected reason)
-CASES = [
-    ([rule(C("test", "=", 1))], [{"test": 1}], 10, "rules/trace/x"),
-    ([rule(C("test", ">", 1))], [{"test": 2}], 10, "rules/trace/x"),
-    ([rule(C("test", "<", 2.2))], [{"test": 1}], 10, "rules/trace/x"),
-    ([rule(C("test", ">", 2.2), rate=0), rule(name="fallback")], [{"test": 1}], 10, "rules/trace/fallback"),
-    ([rule(C("test", "<=", 2.2), C("test", ">=", 2.2), C("test_two", "=", True))], [{"test": 2.2, "test_two": False}, {"test_two": True}], 10, "rules/trace/x"),
-    ([rule(C("test", ">", 2), rate=0, drop=True)], [{"test": 3.0}], 0, "rules/trace/x"),
-    ([rule(C("first", "=", 1), C("second", "=", 2), rate=4)], [{"first": 1}, {"first": 1}], 1, "no rule matched"),
-    ([rule(C("f", "!=", 10), rate=4)], [{"f": 11}], 4, "rules/trace/x"),
-    ([rule(C("f", "not-exists"), rate=4)], [{"g": 1}], 4, "rules/trace/x"),
-    ([rule(C("f", "starts-with", "blue"), rate=4)], [{"f": "blueberry"}], 4, "rules/trace/x"),
-    ([rule(C("f", "does-not-contain", "notuebe"), rate=4)], [{"f": "blueberry"}], 4, "rules/trace/x"),
-    ([rule(C(None, "has-root-span", False), rate=0, drop=True)], [{"a": 1}, {"a": 1}], 0, "rules/trace/x"),
-    ([rule(C(None, "has-root-span", True), rate=99)], [{R: True, "a": 1}, {"a": 1}, {"a": 1}], 99, "rules/trace/x"),
-    ([rule(C(None, "=", 17, fields=("test", "test2")))], [{"test2": 17}], 10, "rules/trace/x"),
-    ([rule(C(None, "=", 17, fields=("test", "test2")))], [{"test2": 16}], 1, "no rule matched"),
-    ([rule(C(None, "=", 17, fields=("test", "test2")))], [{"test": 2, "test2": 17}], 1, "no rule matched"),
-    ([rule(C("?.NUM_DESCENDANTS", ">", 3, "int"), rate=1, drop=True)], [{"a": 1}] * 4, 1, "rules/trace/x"),
-    ([rule(C("?.NUM_DESCENDANTS", "<", 3), rate=1)], [{"a": 1}] * 4, 1, "no rule matched"),
-    ([rule(C("rule_test", "=", 1), C("http.status_code", "=", "200"), scope="span"), rule(rate=0, drop=True, name="rest")], [{"rule_test": 1, "http.status_code": "500"}, {"rule_test": 5, "http.status_code": "200"}], 0, "rules/trace/rest"),
-    ([rule(C("rule_test", "=", 1), C("http.status_code", "=", "200"))], [{"rule_test": 1, "http.status_code": "500"}, {"rule_test": 5, "http.status_code": "200"}], 10, "rules/trace/x"),
-    ([rule(C("f", "matches", "^[0-9]+$"))], [{"f": 123}], 10, "rules/trace/x"),
-    ([rule(C("root.test", "exists"))], [{R: True, "test": 1}, {"other": 1}], 10, "rules/trace/x"),
-    ([rule(C("root.test", "exists"), C("anotherField", "=", "bar"))], [{R: True, "test": 1}, {"other": 1}], 1, "no rule matched"),
-    ([rule(C("root.test", "exists"), C("anotherField", ">", 1.0))], [{R: True, "test": 1, "anotherField": 3.5}, {"anotherField": 1.1}], 10, "rules/trace/x"),
-    ([rule(C("root.nope", "exists"), C("anotherField", "<", 100))], [{R: True, "test": 1, "anotherField": 50}, {"anotherField": 10}], 1, "no rule matched"),
-    ([rule(C("root.test", "contains", "foo"))], [{R: True, "test": "nope"}, {"test": "foo"}], 1, "no rule matched"),
-    ([rule(C(None, "=", "500", fields=("http.status_code", "root.http.status_code")))], [{R: True, "test": 1}, {"http.status_code": "200"}, {"http.status_code": "500"}], 10, "rules/trace/x"),
-    ([rule(C(None, "=", "500", fields=("root.http.status_code",)))], [{"http.status_code": "500"}], 1, "no rule matched"),
-    ([rule(C(None, "=", 100.01, fields=("root.foo", "foo")))], [{"foo": 100.01}], 10, "rules/trace/x"),
-    ([rule(C(None, "=", True, fields=("root.foo", "foo")))], [{"foo": True}], 10, "rules/trace/x"),
-    ([rule(C(None, "has-root-span", True), C("root.service.name", "not-exists"), rate=2)], [{R: True, "a": 1}], 2, "rules/trace/x"),
-    ([rule(C(None, "has-root-span", True), C("root.service.name", "not-exists"), rate=2)], [{R: True, "service.name": "s"}], 1, "no rule matched"),
-    ([rule(C("root.service.name", "not-exists"), rate=2)], [{"a": 1}], 2, "rules/trace/x"),
-    ([rule(rate=1, scope="tree")], [{"a": 1}], 1, "rules/invalid scope/x"),
-    ([rule(C("a", "exists"), sampler=S.Deterministic(1))], [{"a": 1}], 1, "rules/trace/x:deterministic/always"),
-]
-NESTED = [
-    (C("test.test1", "=", "a"), {"test": {"test1": "a"}}, True, 10), (C("test.test1", "=", "a"), {"test.test1": "a"}, True, 10), (C("test.test1", "exists"), {"test": {"test1": "a"}}, False, 1),
-    (C(None, "=", "a", fields=("test.test1", "test.test2")), {"test": {"test2": "a"}}, True, 10),
-]
-
-
-@pytest.mark.parametrize("rules,trace,rate,reason", CASES)
-def test_rules(spark, rules, trace, rate, reason):
-    r = D.decide(spans(spark, [trace]), RuleSet(tuple(rules))).first()
-    assert (r.rate, r.reason) == (rate, reason)
-    if any(x.drop for x in rules) and rate == 0:
-        assert not r.keep
-
-
-@pytest.mark.parametrize("condition,record,nested,rate", NESTED)
-def test_nested(spark, condition, record, nested, rate):
-    assert D.decide(spans(spark, [[record]]), RuleSet((rule(condition),), nested)).first().rate == rate
+FIELDS, VALUES = ("colour", "depth", "root.colour", "root.size"), ("red", "blue", 3, 8)
+NAME = "only"
+
+
+def looked_up(record: dict, root: dict, fields: tuple) -> object:
+    """The first of the fields that the record, or the root, has."""
+    for f in fields:
+        place = root if f.startswith("root.") else record
+        if (f := f.removeprefix("root.")) in place:
+            return place[f]
+    return None
+
+
+def holds(c: Condition, record: dict, root: dict) -> bool:
+    value = looked_up(record, root, c.fields)
+    if c.operator in ("exists", "not-exists"):
+        return (value is not None) == (c.operator == "exists")
+    if c.operator in ("starts-with", "contains", "does-not-contain"):
+        seen = "<nil>" if value is None else str(value)
+        return seen.startswith(c.value) if c.operator == "starts-with" else (c.value in seen) == (c.operator == "contains")
+    same = value is not None and isinstance(value, str) == isinstance(c.value, str)
+    return same and {"=": value == c.value, "!=": value != c.value, ">": same and value > c.value, "<=": same and value <= c.value}[c.operator]
+
+
+def expected(rules: list[Rule], trace: list[dict]) -> tuple[int, str]:
+    """The first rule that the trace meets: in one record for the span scope, else each condition in some record."""
+    root = next((r for r in trace if r.get(R)), {})
+    has = lambda c: bool(root) == c.value if c.operator == "has-root-span" else COUNTS[c.operator](len(trace), c.value) if c.computed else None
+    for r in rules:
+        # a record alone doesn't know of a root's presence
+        late = [False if c.operator == "has-root-span" and r.scope == "span" else has(c) for c in r.conditions or ()]
+        plain = [c for c, x in zip(r.conditions or (), late, strict=True) if x is None]
+        if r.scope == "span":
+            met = not plain or any(all(holds(c, x, root) for c in plain) for x in trace)
+        else:
+            met = all(any(holds(c, x, root) for x in trace) for c in plain)
+        if met and all(x is not False for x in late):
+            return r.sample_rate, f"rules/{r.scope}/{r.name}"
+    return 1, "no rule matched"
+
+
+COUNTS = {">": lambda n, v: n > v, "<=": lambda n, v: n <= v}
+
+
+def invented(rng: random.Random) -> tuple[list[Rule], list[dict]]:
+    def condition() -> Condition:
+        kind = rng.random()
+        if kind < 0.1:
+            return C(None, "has-root-span", rng.random() < 0.5)
+        if kind < 0.2:
+            return C("?.NUM_DESCENDANTS", rng.choice([">", "<="]), rng.randint(1, 3))
+        fields = tuple(rng.sample(FIELDS, rng.randint(1, 2)))
+        op = rng.choice(["=", "!=", ">", "<=", "exists", "not-exists", "starts-with", "contains", "does-not-contain"])
+        value = None if "exists" in op else rng.choice(["r", "lu", "3"]) if op in ("starts-with", "contains", "does-not-contain") else rng.choice(VALUES)
+        return C(None, op, value, fields=fields)
+
+    rules = [rule(*[condition() for _ in range(rng.randint(1, 2))], rate=rng.randint(2, 9), scope=rng.choice(["trace", "span"]), name=f"r{i}") for i in range(rng.randint(1, 3))]
+    trace = [{f: rng.choice(VALUES) for f in ("colour", "depth", "size") if rng.random() < 0.6} for _ in range(rng.randint(1, 4))]
+    if rng.random() < 0.6:
+        trace[rng.randrange(len(trace))][R] = True
+    return rules, trace
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rules(spark, seed):
+    """Invented rules on invented traces against the plain model; every seed takes many traces at once."""
+    rng = random.Random(seed)
+    for _ in range(4):
+        rules, _ = invented(rng)
+        traces = [invented(rng)[1] for _ in range(60)]
+        got = {r.trace_id: (r.rate, r.reason) for r in D.decide(spans(spark, traces), RuleSet(tuple(rules))).collect()}
+        want = {str(i): expected(rules, t) for i, t in enumerate(traces)}
+        assert {i: (want[i], traces[int(i)]) for i in want if want[i] != got[i]} == {}, rules
+
+
+def test_drops_invalid_scopes_and_downstream_samplers(spark):
+    ask = lambda *rules: D.decide(spans(spark, [[{"depth": 8}]]), RuleSet(tuple(rules))).first()
+    dropped = ask(rule(C("depth", "=", 8), rate=0, drop=True, name=NAME))
+    assert (dropped.rate, dropped.keep, dropped.reason) == (0, False, "rules/trace/only")
+    assert ask(rule(rate=3, scope="forest", name=NAME)).reason == "rules/invalid scope/only"
+    assert ask(rule(C("depth", "exists"), sampler=S.Deterministic(1), name=NAME)).reason == "rules/trace/only:deterministic/always"
+    assert ask(rule(C("depth", "matches", "^[0-9]$"), name=NAME)).reason == "rules/trace/only"
+
+
+@pytest.mark.parametrize("name", ["it's", 'say "so"', "back\\slash", "dotted.name", "a b"])
+def test_names_with_any_sign(spark, name):
+    for nested in (False, True):
+        assert D.decide(spans(spark, [[{name: "v"}]]), RuleSet((rule(C(name, "=", "v"), name=NAME),), nested)).first().reason == "rules/trace/only"
+        assert D.decide(spans(spark, [[{R: True, name: "v"}]]), RuleSet((rule(C(f"root.{name}", "=", "v"), name=NAME),), nested)).first().reason == "rules/trace/only"
+
+
+@pytest.mark.parametrize("path,record,nested,found", [(p, r, n, n and "." in p or p in r) for p, r in [("outer.inner", {"outer": {"inner": "v"}}), ("outer.inner", {"outer.inner": "v"}), ("plain", {"plain": "v"})] for n in (True, False)])
+def test_nested(spark, path, record, nested, found):
+    assert (D.decide(spans(spark, [[record]]), RuleSet((rule(C(path, "=", "v")),), nested)).first().rate == 10) == found
 
 
 def test_deterministic(spark):
-    df = spark.createDataFrame([(t,) for t in ("abc123", "def456", "ghi789", "zyx987", "wvu654", "tsr321")], "t string")
-    assert [r.t for r in df.where(S.Deterministic(10).decide(F.col("t"))[1]).collect()] == ["def456"]
+    """One in ten of many ids, the same ones each time, and all at a rate of 1."""
+    df = spark.range(20_000).select(F.concat(F.lit("id"), F.col("id").cast("string")).alias("t"))
+    kept = {r.t for r in df.where(S.Deterministic(10).decide(F.col("t"))[1]).collect()}
+    assert 1800 < len(kept) < 2200 and kept == {r.t for r in df.repartition(3).where(S.Deterministic(10).decide(F.col("t"))[1]).collect()}
+    assert df.where(S.Deterministic(1).decide(F.col("t"))[1]).count() == 20_000
 
 
 def _typed(spark, records, schema):
@@ -94,22 +137,37 @@ def _typed(spark, records, schema):
     return Spans(df.withColumn("arrival", F.struct("at")).drop("at"))
 
 
-@pytest.mark.parametrize(
-    "fields,records,schema,want",
-    [
-        (("code", "path", "team", "important"), [{"code": 200, "path": "/{slug}/home", "team": 2.0, "important": True}], "code long, path string, team double, important boolean", ("200•,true•,/{slug}/home•,2•,1", 5)),
-        (("code",), [{"code": 200}, {"code": 200}, {"code": 404}, {"code": 404}], "code long", ("200•404•,4", 3)),
-        (("code", "root.service"), [{"code": 404}, {"code": 200}, {R: True, "service": "test"}], "code long, service string", ("200•404•,test,3", 4)),
-        (("code", "path"), [{}, {}], "code long, path string", ("2", 1)),
-        (("a", "b"), [{"a": i, "b": 1000 + i} for i in range(160)], "a long, b long", (None, 100)),
-    ],
-)
-def test_trace_keys(spark, fields, records, schema, want):
-    s, key = _typed(spark, records, schema), TraceKey(fields, True, True)
+def _key(spark, records, schema, fields, by_arrival=True):
+    s, key = _typed(spark, [dict(r) for r in records], schema), TraceKey(fields, True, by_arrival)
     t = s.df.groupBy("trace_id").agg(F.count("*").alias("n_descendants"), *key.aggregates(s, "k"))
     k, n = key.key(s, "k")
-    got = t.select(k.alias("k"), n.alias("n")).first()
-    assert got.n == want[1] and want[0] in (None, got.k)
+    return tuple(t.select(k.alias("k"), n.alias("n")).first())
+
+
+def test_trace_keys(spark):
+    """Fields in name order, each one's distinct values as sorted texts; then the root's; then the number of records."""
+    rng = random.Random(11)
+    for _ in range(4):
+        records = [{"port": rng.choice([80, 443]), "share": rng.choice([0.5, 2.0]), "zone": rng.choice(["n", "s"]), "up": rng.random() < 0.5} for _ in range(rng.randint(1, 6))]
+        root = rng.choice(records)
+        root[R] = True
+        text = lambda v: str(v).lower() if isinstance(v, bool) else f"{v:g}" if isinstance(v, float) else str(v)
+        parts = [sorted({text(r[f]) for r in records}) for f in ("port", "share", "up")]
+        want = "".join("•".join(p) + "•," for p in parts) + f"{root['zone']}," + str(len(records))
+        assert _key(spark, records, "port long, share double, zone string, up boolean", ("up", "root.zone", "share", "port")) == (want, sum(map(len, parts)) + 2)
+    assert _key(spark, [{}, {}], "port long, zone string", ("port", "root.zone")) == ("2", 1)
+
+
+def test_trace_keys_beyond_the_cap(spark):
+    assert _key(spark, [{"a": i, "b": 1000 + i} for i in range(130)], "a long, b long", ("a", "b"))[1] == 100
+
+
+def test_trace_keys_of_schemaless_roots(spark):
+    s = spans(spark, [[{"a": 1, "deep": {"x": 2}, "r": 9}, {R: True, "a": 2.5, "r": "web", "big": 4000000, "flag": True, "none": None}]])
+    key = TraceKey(("a", "root.r", "root.big", "root.flag", "root.none", "root.missing"))
+    t = s.df.groupBy("trace_id").agg(F.count("*").alias("n_descendants"), *key.aggregates(s, "k"))
+    k, n = key.key(s, "k")
+    assert tuple(t.select(k, n).first()) == ("1•2.5•,4e+06,true,<nil>,web,", 6)
 
 
 def test_rates_and_dry_run(spark):
