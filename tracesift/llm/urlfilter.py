@@ -1,9 +1,10 @@
 """URL filters by a temporal list join.
 
 List entries are dated: an entry is added or removed at a time. They become validity intervals (from, to) of a key. A key is
-a host suffix, alone or with a path prefix of whole segments. Intervals are cut at period edges and gathered by (key, period),
-so a capture meets those of its own period by an equi-join, and the as-of condition is evaluated on that short list.
-A hot host's captures are spread over periods, and Spark splits what is still skewed.
+a host suffix, alone or with a path prefix of whole segments. Captures are first joined to the hosts on the list, by the suffixes of
+their hosts that are as long as a listed host can be; only then are keys with paths made, of the depths that the list has under
+that host. Short intervals are gathered by (key, period), others by (key, one of SPREAD parts), so that
+a capture meets those of its own time by an equi-join that spreads a hot host; the as-of condition is evaluated there.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PERIOD_DAYS = 32
+#: Intervals of more periods, and open ones, aren't cut by period.
+SHORT = 16
+#: Parts among which the captures of a key with such an interval are spread.
+SPREAD = 16
 
 
 def host_of(url: Column) -> Column:
@@ -25,14 +30,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
-def keys_of(url: Column) -> Column:
-    """All keys that could match: each suffix of the host, and each with each leading run of path segments."""
-    labels = F.split(host_of(url), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    paths = F.transform(F.sequence(F.lit(0), F.size(segments)), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/"))))
-    pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
-    return F.when(host_of(url) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+def suffixes_of(host: Column, most: int) -> Column:
+    """Suffixes of whole labels, of up to ``most`` labels; none of an empty host."""
+    labels = F.split(host, r"\.")
+    first = F.greatest(F.lit(1), F.size(labels) - most + 1)
+    found = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(found))
+
+
+def depth_of(key: Column) -> Column:
+    """Path segments of a list key."""
+    return F.size(F.split(key, "/")) - 1
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -51,18 +59,27 @@ def evaluate(captures: DataFrame, entries: DataFrame, id: str = "page_id", url:
     """Each row of ``captures`` with host, blocked, entry (the longest key valid at fetch time, ties by key) and since.
 
     A null URL, one without a host or a null fetch time matches nothing. Equal rows get equal results; an empty
-    list blocks nothing. Only the three named columns are read."""
+    list blocks nothing; an empty table gives no rows. Only the three named columns are read."""
     days = F.lit(PERIOD_DAYS)
     period = lambda c: F.floor(F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")) / days).cast("int")
     rows = captures.select(F.col(id).alias("id"), F.col(url).alias("url"), F.col(at).alias("at"))
-    last = rows.agg(F.max("at")).first()[0]
-    spans = intervals(entries).where(F.col("valid_from") <= F.lit(last)) if last is not None else intervals(entries).where("false")
-    until = F.least(F.coalesce("valid_to", F.lit(last)), F.lit(last))
-    spans = spans.withColumn("period", F.explode(F.sequence(period(F.col("valid_from")), period(until))))
+    spans = intervals(entries)
+    until = period(F.col("valid_to"))
+    short = F.coalesce(until - period(F.col("valid_from")) < SHORT, F.lit(False))
+    spans = spans.withColumn("period", F.explode(F.when(short, F.transform(F.sequence(period(F.col("valid_from")), F.when(short, until).otherwise(period(F.col("valid_from")))), lambda p: F.struct(F.lit(True).alias("short"), p.alias("at")))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda p: F.struct(F.lit(False).alias("short"), p.alias("at"))))))
     spans = spans.groupBy("key", "period").agg(F.collect_list(F.struct("valid_from", "valid_to")).alias("spans"))
-    asked = rows.where("at IS NOT NULL").distinct().withColumn("key", F.explode(keys_of(F.col("url")))).withColumn("period", period(F.col("at")))
+    hosts = entries.where("key IS NOT NULL").select(F.substring_index("key", "/", 1).alias("suffix"), depth_of(F.col("key")).alias("depth"))
+    hosts = hosts.groupBy("suffix").agg(F.collect_set("depth").alias("depths"))
+    most = hosts.agg(F.max(F.size(F.split("suffix", r"\.")))).first()[0] or 0
+    asked = rows.where("at IS NOT NULL").distinct().withColumn("suffix", F.explode(suffixes_of(host_of(F.col("url")), most)))
+    segments = F.filter(F.split(path_of(F.col("url")), "/"), lambda s: s != "")
+    depths = F.filter("depths", lambda d: d <= F.size("segments"))
+    asked = asked.join(hosts, "suffix").withColumn("segments", segments).withColumn("depth", F.explode(depths))
+    asked = asked.select("id", "url", "at", F.concat_ws("/", F.array("suffix"), F.slice("segments", F.lit(1), F.col("depth"))).alias("key"))
+    periods = F.array(F.struct(F.lit(True).alias("short"), period(F.col("at")).alias("at")), F.struct(F.lit(False).alias("short"), F.pmod(F.xxhash64("url", "at"), F.lit(SPREAD)).cast("int").alias("at")))
+    asked = asked.withColumn("period", F.explode(periods))
     hit = F.filter("spans", lambda s: (s["valid_from"] <= F.col("at")) & (s["valid_to"].isNull() | (F.col("at") < s["valid_to"])))
     met = asked.join(spans, ["key", "period"]).withColumn("hit", hit).where("size(hit) > 0")
     best = met.groupBy("id", "url", "at").agg(F.max(F.struct(F.length("key").alias("n"), "key", F.col("hit")[0]["valid_from"].alias("since"))).alias("best"))
-    out = rows.alias("r").join(best.alias("b"), F.expr("r.id <=> b.id AND r.url <=> b.url AND r.at = b.at"), "left")
+    out = rows.alias("r").join(best.alias("b"), F.expr("r.id <=> b.id AND r.url = b.url AND r.at = b.at"), "left")
     return out.select(F.col("r.id").alias(id), F.col("r.url").alias("url"), host_of(F.col("r.url")).alias("host"), F.col("r.at").alias(at), F.col("best").isNotNull().alias("blocked"), F.col("best.key").alias("entry"), F.col("best.since").alias("since"))
