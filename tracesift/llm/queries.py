@@ -127,7 +127,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = secrets.findings(docs, cut(secrets.scan(docs)))
+    # as over two deliveries: the first had a share of the versions and the base rules; the second has all versions and rules,
+    # and scans what the ledger hasn't seen. Every version meets every rule
+    ledger = cut(secrets.scan(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0), rules=secrets.BASE))
+    found = secrets.findings(docs, ledger.union(cut(secrets.scan(docs, ledger))))
     n = lambda k: F.size(F.filter("spans", lambda s: s["no"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["no"] < len(secrets.BASE))
     out = found.select("doc_id", "spans", base.alias("base"))

@@ -1,7 +1,7 @@
 """Lineage cuts that survive a lost executor.
 
 ``cut`` writes a table below the folder that the cluster names in ``spark.checkpoint.dir`` and reads it back.
-Only where that setting is absent (tests, single machine) a folder of our own is made.
+Only where that setting is absent and the master is local (tests, single machine) a folder of our own is made.
 """
 
 from __future__ import annotations
@@ -68,6 +68,8 @@ def root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         at = "file://" + tempfile.mkdtemp(prefix="tracesift-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -82,6 +84,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def release() -> None:
     """Delete all tables made by ``cut``; results that still read them must be consumed before."""
     while _MADE:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesift.llm.scratch import cut
+from tracesift.llm.scratch import cut, fresh
 
 LEDGER = "blob string, rules array<string>, spans array<struct<start: bigint, no: int, end: bigint>>"
 
@@ -58,7 +58,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """New ledger rows for ``versions`` (columns ``doc_id``, ``text``): blobs that some of ``rules`` has not seen.
 
     Append the result to the ledger. Blobs without any finding get a row too, else they would be scanned again.
-    An empty or null text is the empty blob. Positions count code points."""
+    An empty or null text is the empty blob. Repeated rows, and rows of a null doc_id, are scanned as one blob; an empty table gives no
+    rows. Positions count code points. Only doc_id and text are read."""
     marked = versions.select("doc_id", blob_of().alias("blob"))
     todo = marked.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     if ledger is not None:
@@ -112,9 +113,11 @@ def described(spans: str, rules: tuple[Rule, ...] = RULES):
 def masked(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``versions`` with every span's text replaced by ``mark``; other columns and rows without findings are unchanged.
 
-    Overlapping spans are merged; the text is cut at code points."""
+    Overlapping spans are merged; the text is cut at code points. Null texts stay null, equal rows are masked alike, columns of any
+    name come back as they were, and an empty table stays empty."""
     names = versions.columns
-    found = findings(versions, ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_blob"])
+    blob, spans = fresh(versions, "_blob", "_spans")
+    found = findings(versions, ledger, rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans)).where(F.size(spans) > 0).dropDuplicates([blob])
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc, s):
@@ -122,6 +125,6 @@ def masked(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RUL
         inside = s["start"] < acc["at"]
         return F.struct(F.when(inside, acc["out"]).otherwise(piece).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    joined = versions.withColumn("_blob", blob_of()).join(found, "_blob", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(*[F.col(f"`{c}`") for c in names])
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    joined = versions.withColumn(blob, blob_of()).join(found, blob, "left")
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean)).select(*[F.col(f"`{c}`") for c in names])
