@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracesift.llm.scratch import cut, frugal, held
+from tracesift.llm.scratch import cut, fresh, frugal, held
 
 CAPACITY = 4096
 WORDS_KEPT, CORES_KEPT, HOT = 500_000, 1_200_000, 15_000
@@ -271,20 +271,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = 20_000)
     """``pieces`` (with a column ``length`` from 1 to ``capacity``) plus sequence_id and offset, gapless from 0.
 
     ``pieces`` should be a stored table, as it is read twice. Equal rows get places of their own; an empty table gives
-    none. Which of the equally long pieces goes where follows their hash, and has no bearing on the packing's quality."""
+    none; columns of the results' names are replaced, and others may have any name. Which of the equally long pieces goes where
+    follows their hash, and has no bearing on the packing's quality."""
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
+    mark, part, start, place_ = fresh(pieces, "_key", "_salt", "_start", "_rank")
     key = F.xxhash64(*[F.col(f"`{c}`") for c in names if c in ("doc_id", "piece")] or [F.lit(0)])
     total = pieces.count()
     salts = max(64, total // range_rows)
-    marked = pieces.withColumn("_key", key).withColumn("_salt", F.pmod("_key", F.lit(salts)).cast("int"))
-    counts = marked.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    marked = pieces.withColumn(mark, key).withColumn(part, F.pmod(mark, F.lit(salts)).cast("int"))
+    counts = marked.groupBy("length", part).agg(F.count("*").alias("n"))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if any(not 0 < s <= capacity for s in histogram):
         raise ValueError("a piece is longer than the capacity, or empty")
-    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    inner = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_key")) - 1
-    ranked = marked.withColumn("_rank", inner).join(starts, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
+    earlier = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start))
+    inner = F.row_number().over(Window.partitionBy("length", part).orderBy(mark)) - 1
+    ranked = marked.withColumn(place_, inner).join(starts, ["length", part]).withColumn(place_, F.col(place_) + F.col(start))
     layout = defaultdict(list)
     for length, low, high, first, each, offset in sorted(plan(histogram, capacity)):
         layout[length].append((low, first, each, offset))
@@ -304,7 +307,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = 20_000)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*[F.col(f"`{c}`") for c in names], "_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*[F.col(f"`{c}`") for c in names], place_).mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
