@@ -40,6 +40,8 @@ SAMPLE_ROWS = 12_000
 MINIMA, COPY = 2, 0.8
 STEMS = range(4, 9)
 LEXICON_SIZE = 4096
+#: A term is taken where fewer than exp(-GUARD) terms of its support are to be expected by chance.
+GUARD = 1.0
 _MIXED = re.compile(r"[@$!|]{2,}|(?<![^\W\d_])[@$!|]+(?![^\W\d_])|[!|]+(?=\s|$)")
 _NUMBER = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 _SIGNS = re.compile(r"[@$!|]")
@@ -173,17 +175,24 @@ def learn(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_R
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["term", "toxic", "clean"])
 
     counts = texts.coalesce(8).mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = cut(counts.where("toxic > 0 OR term = ''"))
+    counts = cut(counts)
     total = counts.where("term = ''").first()
     n_toxic, n_clean = (total["toxic"] or 0, total["clean"] or 0) if total else (0, 0)
     if not n_toxic:
         return Model({k + " ": v for k, v in PRIOR.items()})
-    # log-likelihood ratio against the base rate; the logarithm of the number of candidate terms guards against chance finds
+    # log-likelihood ratio against the base rate. Its exponential bounds the chance of such a find among clean terms of the same
+    # support; times the number of terms that have as much support, or more, that is how many such finds to expect
+    per = {r["n"]: r["k"] for r in counts.where("term <> ''").groupBy((F.col("toxic") + F.col("clean")).alias("n")).agg(F.count("*").alias("k")).collect()}  # sample_rows rows at most
+    many, upto = {}, 0
+    for n in sorted(per, reverse=True):
+        upto += per[n]
+        many[n] = math.log(upto)
+    tests = counts.sparkSession.createDataFrame(list(many.items()), "n long, tests double")
     base, seen = n_toxic / max(1, n_toxic + n_clean), F.col("toxic") + F.col("clean")
     gain = F.col("toxic") * F.log(F.col("toxic") / seen / F.lit(base)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / seen / F.lit(max(1 - base, 1e-9)))).otherwise(0.0)
-    chance = math.log(max(counts.count(), 2)) + 3
     ratio = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    rows = counts.where("term <> '' AND toxic > 0").withColumn("w", F.log(ratio)).where((F.col("w") > 1.5) & (gain >= chance)).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "term").limit(LEXICON_SIZE).collect()
+    rows = counts.where("term <> '' AND toxic > 0").withColumn("n", seen).join(F.broadcast(tests), "n")
+    rows = rows.withColumn("w", F.log(ratio)).where((F.col("w") > 1.5) & (gain >= F.col("tests") + GUARD)).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "term").limit(LEXICON_SIZE).collect()
     terms: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
         shorter = [terms[r["term"][:n]] for n in STEMS if n < len(r["term"]) and r["term"][:n] in terms]
