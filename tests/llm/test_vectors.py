@@ -15,13 +15,14 @@ def _vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, rank string")
 
 
-@pytest.mark.parametrize("shard,block", [(65_536, 1024), (64, 3)])
-def test_topk(spark, shard, block):
+@pytest.mark.parametrize("shard,block", [(1 << 25, 8192), (4096, 7)])
+def test_topk(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(topk, "RANGE_ROWS", block)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 0.2, 12).tolist()) for i in range(500)]
     rows += [(500, None), (600, [NAN] * 12), (601, [0.5, None] + [0.0] * 10), (602, [INF] * 12), (700, [0.0] * 12), (701, rows[3][1]), (702, rows[3][1])]
     df = _vectors(spark, rows)
-    got = topk.search(topk.quantised(df), F.col("vec_id") % 100 == 0, 10, shard, block).collect()
+    got = topk.search(topk.quantised(df), F.col("vec_id") % 100 == 0, 10, shard).collect()
     clean = {i: np.floor(1024 * np.array(np.float32(v), np.float64)).astype(int) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()}
     want = set()
     for q in clean:
@@ -32,6 +33,47 @@ def test_topk(spark, shard, block):
     assert topk.search(topk.quantised(df.where("false")), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_of_any_lengths_ties_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-3, 4, rng.integers(0, 9)).tolist()) for i in range(300)] + [(7, [-9] * 3), (7, [9] * 3), (None, [1]), (301, None), (302, rng.integers(-3, 4, 5000).tolist())]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, terms array<long>, shard int, asks string")
+    got = topk.search(df, F.col("vec_id") % 50 == 0, 5, 1000).collect()
+    known = {i: v for i, v in rows if i is not None and v is not None}
+    known[7] = min(v for i, v in rows if i == 7)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))  # noqa: E731, B905
+    want = set()
+    for q in known:
+        if q % 50 == 0:
+            best = sorted((-dot(known[q], v), i) for i, v in known.items() if i != q)[:5]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_topk_skips_most_rows():
+    """Where few terms have weight, the rows that they don't raise are never scored."""
+    rng = np.random.default_rng(5)
+    rows = np.where(rng.random((40_000, 30)) < 0.02, rng.integers(1, 900, (40_000, 30)), 0)
+    shard, q = topk.Shard(np.arange(40_000), np.full(40_000, 30), rows.reshape(-1)), np.array([500, 400] + [1] * 28)
+    seen, probe = [], topk.Shard.probe
+    try:
+        topk.Shard.probe = lambda self, r, t: (seen.append(len(r)), probe(self, r, t))[1]
+        ids, scores = shard.search(q, 10, 3)
+    finally:
+        topk.Shard.probe = probe
+    want = sorted((-int(s), i) for i, s in enumerate(rows @ q) if i != 3)[:10]
+    assert [(-int(s), int(i)) for i, s in zip(ids, scores, strict=True)] == want
+    assert seen and sum(seen) < 0.05 * rows.size
+
+
+def test_topk_of_wide_vectors(spark):
+    """Shards follow bytes, so wide vectors come in smaller ones."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-50, 50, (1500, 1024))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, terms array<long>")
+    got = topk.search(df, F.col("vec_id") % 300 == 0, 3, 1 << 20).collect()
+    assert {(r.query_id, r.vec_id) for r in got if r["rank"] == 1} == {(q, max((i for i in range(1500) if i != q), key=lambda i: (int(x[q] @ x[i]), -i))) for q in range(0, 1500, 300)}
+
+
 @pytest.mark.parametrize("blocks", [2048, 16])
 def test_embedding_classes(spark, blocks):
     rng = np.random.default_rng(3)
