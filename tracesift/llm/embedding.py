@@ -1,7 +1,8 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Each pass sorts the distinct vectors by the signs of random projections; the vectors of a run of equal signs are all
-compared by exact cosine and linked, however long the run is. The number of signs follows from the number of vectors, the
+compared and linked, however long the run is. Passes carry the vectors in 16 bits a component with a bound of what that leaves out; the
+few pairs whose cosine it leaves open are settled in double precision at the end. The number of signs follows from the number of vectors, the
 number of passes from the signs: a pair exactly at the limit shares no run with a chance of MISS at most. Passes use
 different projections; the union of their verified links gives the components. Within a component all direct links are
 then counted: members close to the component's mean are linked with each other by the triangle inequality, and the few
@@ -27,8 +28,10 @@ from tracesift.llm.topk import usable
 
 #: A pair exactly at the limit is compared in no pass with this chance at most.
 MISS = 1e-4
-#: So many comparisons take about the time that carrying a row through a pass takes.
-ROW_COST = 1024
+#: So many comparisons are worth carrying a row through a pass, in time and in shuffled bytes.
+ROW_COST = 1536
+#: What single precision adds to a product of two codes, at most.
+ROUNDING = 1e-5
 BLOCK_ROWS = 2048
 PIVOTS = 16
 
@@ -58,6 +61,21 @@ def units(embeddings: DataFrame) -> DataFrame:
     return clean.mapInArrow(run, "vec_id long, dims int, unit binary")
 
 
+def _code(unit: np.ndarray) -> np.ndarray:
+    """Rows of unit vectors as bytes: the scale, the length of what is left out, and 16 bits a component."""
+    scale = np.abs(unit).max(1) / 32767
+    code = np.rint(unit / scale[:, None]).astype(np.int16)
+    left = np.sqrt(((unit - code * scale[:, None]) ** 2).sum(1))
+    return np.concatenate([np.stack([scale, left], 1).view(np.uint8), code.view(np.uint8)], 1)
+
+
+def _decoded(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in single precision, and how far each is off at most."""
+    raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+    head = raw[:, :16].copy().view(np.float64)
+    return raw[:, 16:].copy().view(np.int16).astype(np.float32) * head[:, :1].astype(np.float32), head[:, 1] + ROUNDING
+
+
 def plan(rows: int, limit: float, miss: float = MISS) -> tuple[int, int]:
     """Passes and signs a pass for so many distinct vectors: the cheapest of those that keep ``miss`` at ``limit``.
 
@@ -74,7 +92,7 @@ def plan(rows: int, limit: float, miss: float = MISS) -> tuple[int, int]:
 
 
 def hashed(vectors: DataFrame, passes: int, bits: int) -> DataFrame:
-    """vec_id, dims, unit, and ``keys``: the vector's ``bits`` signs in each pass as one number."""
+    """vec_id, dims, the vector's ``code``, and ``keys``: its ``bits`` signs in each pass as one number."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,24 +104,30 @@ def hashed(vectors: DataFrame, passes: int, bits: int) -> DataFrame:
                 dims = int(dims)
                 if dims not in planes:
                     planes[dims] = np.random.default_rng([97, dims]).normal(size=(dims, passes * bits))
-                signs = _unit(part.column(2), dims) @ planes[dims] > 0
+                unit = _unit(part.column(2), dims)
+                signs = unit @ planes[dims] > 0
                 keys = signs.reshape(len(signs), passes, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * passes, pa.int32()), pa.array(keys.reshape(-1).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["vec_id", "dims", "unit", "keys"])
+                codes = pa.array([c.tobytes() for c in _code(unit)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), codes, lists], names=["vec_id", "dims", "code", "keys"])
 
-    return vectors.select("vec_id", "dims", "unit").mapInArrow(run, "vec_id long, dims int, unit binary, keys array<long>")
+    return vectors.select("vec_id", "dims", "unit").mapInArrow(run, "vec_id long, dims int, code binary, keys array<long>")
 
 
-def _spanning(ids: np.ndarray, x: np.ndarray, labels: np.ndarray, limit: float, n_left: int | None = None) -> list[np.ndarray]:
-    """Links that connect what ``labels`` has apart, of all pairs or, with ``n_left``, of pairs of one of the first rows and a later one."""
+def _spanning(ids: np.ndarray, x: np.ndarray, off: np.ndarray, labels: np.ndarray, limit: float, n_left: int | None = None) -> pd.DataFrame:
+    """Links (a, b) that connect what ``labels`` has apart, of all pairs or, with ``n_left``, of pairs of one of the first rows and a
+    later one; ``sure`` is false where the vectors, which are ``off`` by so much at most, leave open whether they are linked."""
     _, root = np.unique(labels, return_inverse=True)
     out: list[np.ndarray] = []
+    unsure: list[np.ndarray] = []
     for i in range(0, len(ids) if n_left is None else n_left, 256):
         last = min(i + 256, len(ids) if n_left is None else n_left)
         start = i if n_left is None else n_left
-        near = x[i:last] @ x[start:].T >= limit
+        cosine = x[i:last] @ x[start:].T
+        slack = off[i:last, None] + off[start:] + off[i:last, None] * off[start:]
         if n_left is None:
-            np.fill_diagonal(near, False)
+            np.fill_diagonal(cosine, -2)
+        near = cosine - slack >= limit
         for p in np.flatnonzero(near.any(1)):
             at = start + np.flatnonzero(near[p])
             at = at[root[at] != root[i + p]]
@@ -113,16 +137,36 @@ def _spanning(ids: np.ndarray, x: np.ndarray, labels: np.ndarray, limit: float,
                 gone = np.zeros(root.max() + 1, bool)
                 gone[joined] = True
                 root[gone[root]] = root[i + p]
-    return out
+        a, b = np.nonzero((cosine + slack >= limit) & ~near)
+        a, b = a + i, b + start
+        apart = root[a] != root[b]
+        unsure.append(np.stack([a[apart], b[apart]], 1))
+    rest = np.concatenate(unsure) if unsure else np.zeros((0, 2), np.int64)
+    rest = rest[root[rest[:, 0]] != root[rest[:, 1]]]  # most have been connected since
+    pairs = np.concatenate([*out, ids[rest]]) if out or len(rest) else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64), "sure": np.arange(len(pairs)) < len(pairs) - len(rest)})
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
-def _frame(found: list[np.ndarray]) -> pd.DataFrame:
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+_LINK = "a long, b long, sure boolean"
+
+
+def settled(pairs: DataFrame, vectors: DataFrame, limit: float) -> DataFrame:
+    """Distinct (a, b) of the sure ``pairs`` and those of the others whose cosine in double precision is at least ``limit``."""
+    pairs = cut(pairs.distinct())
+    unit = lambda key: vectors.select(F.col("vec_id").alias(key), F.col("unit").alias(f"u{key}"))
+    rest = pairs.where("NOT sure").select("a", "b").join(unit("a"), "a").join(unit("b"), "b").select("a", "b", "ua", "ub")
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [float(np.frombuffer(u, np.float64) @ np.frombuffer(v, np.float64)) >= limit for u, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return pairs.where("sure").select("a", "b").union(rest.mapInArrow(run, "a long, b long"))
 
 
 def links(vectors: DataFrame, limit: float, miss: float = MISS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -134,22 +178,22 @@ def links(vectors: DataFrame, limit: float, miss: float = MISS, block_rows: int
     run, keys = ["dims", "pass", "key"], F.posexplode("keys").alias("pass", "key")
     long_runs = signed.select("dims", keys).groupBy(*run).agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
     long_runs = cut(long_runs.select(*run, F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("blocks"), F.monotonically_increasing_id().alias("grp")))
-    rows, columns = signed.select("vec_id", "dims", keys, "unit"), ["vec_id", "dims", "pass", "key", "block", "unit"]
+    rows, columns = signed.select("vec_id", "dims", keys, "code"), ["vec_id", "dims", "pass", "key", "block", "code"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("vec_id").sort_values("vec_id")
         ids = pdf["vec_id"].to_numpy()
-        return _frame(_spanning(ids, _matrix(pdf["unit"]), ids, limit) if len(ids) > 1 else [])
+        return _spanning(ids, *_decoded(pdf["code"]), ids, limit)
 
     if long_runs.isEmpty():
-        return rows.groupBy(*run).applyInPandas(solve, "a long, b long").distinct()
+        return settled(rows.groupBy(*run).applyInPandas(solve, _LINK), vectors, limit)
     large = rows.join(long_runs, run)
     pivots = large.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("vec_id"), "vec_id"))).where(f"k <= {PIVOTS}")
     spread = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     split = rows.join(long_runs, run, "left").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.coalesce("blocks", F.lit(1))).cast("int"))
-    edges = cut(split.select(*columns).union(spread.select(*columns)).groupBy(*run, "block").applyInPandas(solve, "a long, b long").distinct())
+    edges = cut(settled(split.select(*columns).union(spread.select(*columns)).groupBy(*run, "block").applyInPandas(solve, _LINK), vectors, limit))
     label = cut(components(edges)).withColumnRenamed("id", "_i")
-    large = cut(large.join(label, F.expr("vec_id = _i"), "left").select("vec_id", "grp", "unit", F.coalesce("component", "vec_id").alias("label")))
+    large = cut(large.join(label, F.expr("vec_id = _i"), "left").select("vec_id", "grp", "code", F.coalesce("component", "vec_id").alias("label")))
     counts = large.groupBy("grp", "label").agg(F.count("*").alias("n"))
     best = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n_all"))
     rest = counts.join(best, "grp").where("label <> main").groupBy("grp").agg(F.sum("n").alias("n_left"))
@@ -159,11 +203,11 @@ def links(vectors: DataFrame, limit: float, miss: float = MISS, block_rows: int
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return _frame([])
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sure": np.zeros(0, bool)})
         pdf = pd.concat([x, y], ignore_index=True)
-        return _frame(_spanning(pdf["vec_id"].to_numpy(), _matrix(pdf["unit"]), pdf["label"].to_numpy(), limit, len(x)))
+        return _spanning(pdf["vec_id"].to_numpy(), *_decoded(pdf["code"]), pdf["label"].to_numpy(), limit, len(x))
 
-    return edges.union(a.cogroup(b).applyInPandas(meet, "a long, b long")).distinct()
+    return edges.union(settled(a.cogroup(b).applyInPandas(meet, _LINK), vectors, limit)).distinct()
 
 
 def classes(embeddings: DataFrame, limit: float = 0.9, miss: float = MISS, block_rows: int = BLOCK_ROWS) -> DataFrame:
