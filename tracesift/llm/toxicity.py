@@ -42,6 +42,8 @@ STEMS = range(4, 9)
 LEXICON_SIZE = 4096
 #: A term is taken where fewer than exp(-GUARD) terms of its support are to be expected by chance.
 GUARD = 1.0
+#: Clean texts without a hit that the fit of the score is given beside the labelled ones.
+BLANKS = 30
 _MIXED = re.compile(r"[@$!|]{2,}|(?<![^\W\d_])[@$!|]+(?![^\W\d_])|[!|]+(?=\s|$)")
 _NUMBER = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 _SIGNS = re.compile(r"[@$!|]")
@@ -208,6 +210,8 @@ def learn(docs: DataFrame, labels: DataFrame, train, sample_rows: int = SAMPLE_R
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
 
     fit = np.array([(r["x"], r["y"]) for r in texts.mapInArrow(density, "x double, y int").collect()], float).reshape(-1, 2)
+    # a few labelled texts must not make texts without any hit toxic
+    fit = np.concatenate([fit, np.zeros((BLANKS, 2))])
     model.bias, model.slope = _logistic(fit[:, 0], (fit[:, 1] == 1).astype(float))
     return model
 
@@ -228,7 +232,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """doc_id and ``score`` (0 to 1) of every row's whole text; with ``spans`` also the hits in the folded text.
 
-    A null or empty text has no hit and gets the score of density 0. Only doc_id and text are read."""
+    A null or empty text has no hit and gets the score of density 0. Equal rows get equal scores, and an empty table gives none. Only
+    doc_id and text are read."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
