@@ -16,11 +16,14 @@ EDGE = [
 ]
 
 
+CLASHES = "n id rank spans blob size target taken kept first node text_hash label grp _n _size _key _mark _blob _spans _rank _salt _start _of _at _again length piece sequence_id offset score words name start".split()
+
+
 @pytest.fixture(scope="session")
 def edge(spark):
     """Nulls, empty and very long texts, repeated rows, and further columns whose names clash with the operators' own."""
-    rows = [(*r, 1, "x", 2.5, True) for r in EDGE]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long, id string, rank double, spans boolean")
+    rows = [(*r, *range(len(CLASHES))) for r in EDGE]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} long" for c in CLASHES))
 
 
 @pytest.fixture(scope="session")

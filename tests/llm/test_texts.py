@@ -236,7 +236,7 @@ def test_mixing(spark, edge, empty):
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
     assert sorted((r.doc_id, r.taken) for r in mixing.take(docs).collect()) == sorted((r.doc_id, r.taken) for r in got)
     out = mixing.materialise(docs)
-    assert out.columns == docs.columns and max(r["count"] for r in out.groupBy("doc_id").count().collect()) <= 2
+    assert out.columns == docs.columns and mixing.materialise(docs.withColumn("_n", F.lit(1)).withColumn("size", F.lit(2))).columns[-2:] == ["_n", "size"] and max(r["count"] for r in out.groupBy("doc_id").count().collect()) <= 2
     assert mixing.take(edge).count() == edge.count() and mixing.take(empty).count() == 0 and mixing.materialise(edge).columns == edge.columns
 
 
@@ -339,6 +339,17 @@ def test_language(spark, edge, empty):
     assert np.allclose(pooled[1], np.exp(labeller.labels("die " + "x" * 70)).mean(0), atol=1e-4)
 
 
+def test_language_query(spark):
+    """The query's own columns, and held-out accuracy."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op4_language_id"](spark, sf).collect()
+    assert len(got) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in docs[r.doc_id].text or "")) for r in got)
+    held = [r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out and docs[r.doc_id].lang is not None]
+    assert sum(held) >= 0.95 * len(held)
+
+
 def test_language_gradients():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
@@ -394,6 +405,31 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.flagged(edge, none, 0.3, False).columns == edge.columns
 
 
+def test_toxicity_query(spark):
+    """The query's own columns; held-out recall of 0.9 where there are enough labelled texts of each language, and few false alarms."""
+    sf = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = QUERIES["op6_toxicity"](spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    held = [(toxic[r.doc_id], r.predicted) for r in got if r.held_out and toxic.get(r.doc_id) is not None]
+    assert sum(p for y, p in held if y == 1) >= 0.9 * sum(y for y, _ in held) and sum(p for y, p in held if y == 0) <= 0.03 * len(held)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_toxicity_counts_do_not_depend_on_partitions(spark, parts):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("bcdfglmnprst", k=6)) for _ in range(150)]
+    rows = [(i, " ".join(rng.choices(vocab, k=20) + ["zorgle"] * (i % 6 == 0)), int(i % 6 == 0)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(parts)
+    model = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"), F.lit(True))
+    KEPT.setdefault("terms", model.terms)
+    assert model.terms == KEPT["terms"] and "zorg" in model.terms
+
+
+KEPT: dict = {}
+
+
 def test_toxicity_counts_are_whole(spark):
     """A term's clean texts all count, however they fall into tasks, and texts that share a passage aren't one text."""
     rng = random.Random(6)

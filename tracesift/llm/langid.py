@@ -8,6 +8,7 @@ Training is backpropagation through time with Adam on the mean position loss.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -191,26 +192,37 @@ class Labeller:
 def learn(docs: DataFrame, train) -> Model | None:
     """Trains on documents for which ``train`` (a condition on doc_id) holds; None without any labelled text.
 
-    The fit reads at most DOCS_PER_LANGUAGE whole documents of each language, by hash order of their ids, and
-    draws at most WORDS_PER_LANGUAGE of their words; these bounds and STEPS are its parameters."""
+    The fit reads at most DOCS_PER_LANGUAGE whole documents of each language, by hash order of their ids, and draws at most
+    WORDS_PER_LANGUAGE of their words (pieces of at most SPAN bytes) on the executors, by hash order too; these bounds and STEPS
+    are its parameters. Only the drawn words come to the driver. Only doc_id, lang and text are read; repeated rows count as
+    often as they come."""
     from pyspark.sql.window import Window
 
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & train).select("doc_id", "lang")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = ids.withColumn("k", F.row_number().over(first)).where(f"k <= {DOCS_PER_LANGUAGE}").select("doc_id", "lang").distinct()
+
+    @frugal
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = [w.encode() for w in text.lower().split() if any(c.isalpha() for c in w)]
+                pieces = [w[i : i + SPAN] for w in words for i in range(0, len(w), SPAN)]
+                # no language needs more of one document than the bound of them all; the draw must not favour long ones' beginnings
+                keys = [zlib.crc32(b, zlib.crc32(b"%d:%d" % (doc, n))) for n, b in enumerate(pieces)]
+                chosen = sorted(range(len(pieces)), key=keys.__getitem__)[:WORDS_PER_LANGUAGE]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(chosen), pa.string()), pa.array([keys[i] for i in chosen], pa.int64()), pa.array([pieces[i] for i in chosen], pa.binary())], names=["lang", "key", "word"])
+
     # languages x DOCS_PER_LANGUAGE rows at most
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text").collect()
-    rows = sorted((r["lang"], r["text"]) for r in rows if r["text"])
+    chosen = docs.select("doc_id", "lang", "text").where("text IS NOT NULL").join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    drawn = chosen.mapInArrow(draw, "lang string, key long, word binary")
+    order = Window.partitionBy("lang").orderBy("key", "word")
+    rows = drawn.withColumn("k", F.row_number().over(order)).where(f"k <= {WORDS_PER_LANGUAGE}").select("lang", "word").collect()
+    rows = sorted((r["lang"], bytes(r["word"])) for r in rows)
     languages = sorted({r[0] for r in rows})
     if not languages:
         return None
-    rng, words, y = np.random.default_rng(3), [], []
-    for k, lang in enumerate(languages):
-        own = [b[i : i + SPAN] for name, t in rows if name == lang for w in t.lower().split() if any(c.isalpha() for c in w) for b in [w.encode()] for i in range(0, len(b), SPAN)]
-        if len(own) > WORDS_PER_LANGUAGE:
-            own = [own[i] for i in rng.choice(len(own), WORDS_PER_LANGUAGE, replace=False)]
-        words += own
-        y += [k] * len(own)
+    rng, words, y = np.random.default_rng(3), [w for _, w in rows], [languages.index(lang) for lang, _ in rows]
     model = Model.new(languages)
     if words:
         y = np.array(y)
@@ -224,7 +236,8 @@ def learn(docs: DataFrame, train) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row's whole text; ``und`` with score 0 for null texts and those without a letter.
 
-    The score is the predicted language's share of the positions' probabilities. Only doc_id and text are read."""
+    The score is the predicted language's share of the positions' probabilities. Equal rows get equal results, and an empty table
+    gives none. Only doc_id and text are read."""
     kind = dict(docs.dtypes)["doc_id"]
 
     @frugal

@@ -44,6 +44,7 @@ def dated_list(pages: DataFrame) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page at its fetch time against the dated list: page_id, host, fetched, blocked, entry, since. A null URL matches nothing."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.expr("CAST(date_add(DATE'2024-01-01', CAST(page_id * 37 % 365 AS INT)) AS TIMESTAMP)").alias("fetched"))
     out = urlfilter.evaluate(pages, dated_list(pages))
     return out.select("page_id", "host", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "blocked", "entry", F.date_format("since", "yyyy-MM-dd").alias("since"))
@@ -79,6 +80,7 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best other vectors of each vec_id divisible by 100, by integer inner product. Vectors null or with null or non-finite components take no part."""
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, F.col("vec_id") % 100 == 0).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -94,6 +96,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of whole texts: three words, 85 of 100. Null and wordless texts have 0 shingles and are linked with nothing."""
     return neardup.classes(_table(spark, sf_dir, "documents"), width=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -120,12 +123,14 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from four folds of five; ``und`` with score 0 for null texts and those without a letter."""
     docs = _table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.learn(docs, fold_of(5) != 0))
     return out.select("doc_id", F.coalesce(fold_of(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text by kind and place; a null text has none."""
     docs = _table(spark, sf_dir, "documents")
     # as over two deliveries: the first had a share of the versions and the base rules; the second has all versions and rules,
     # and scans what the ledger hasn't seen. Every version meets every rule
@@ -169,6 +174,7 @@ FROM d LEFT JOIN a USING (doc_id)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learnt from three folds of four; null and empty texts get the score of a text without a hit."""
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), fold_of(4) != 2)
     out = toxicity.score(docs, model)
@@ -181,11 +187,13 @@ def _crc32(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of every whole text and their places in sequences of 4,096; a null text is the end id alone."""
     pieces = packing.tokenise(_table(spark, sf_dir, "documents"), tokenizer_path(), keep=_crc32).withColumnRenamed("ids", "ids_crc32")
     return packing.pack(cut(pieces))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that are covered by a run of 50 that also starts in a smaller document; null texts have none."""
     return substrings.removed(_table(spark, sf_dir, "documents"))
 
 
@@ -205,6 +213,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; null texts have size 0, a null source is one of its own, the last."""
     return mixing.take(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -231,6 +240,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct links and component of every vector at a cosine of 0.9; unusable vectors link with nothing."""
     return embedding.classes(_table(spark, sf_dir, "embeddings"))
 
 
