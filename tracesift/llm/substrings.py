@@ -3,20 +3,20 @@
 1. A pass over the texts finds each window's anchor: the place of its least half-window word run (a minimiser). Equal
    windows have equal anchors, so the trees need the suffixes at anchors only, and a window whose anchor's run
    occurs in one document only can't repeat and is done with. This pruning is by hashes; all that follows is by words.
-2. Suffixes are split into groups by their first words. The prefix has half a window's words; a group that holds more than
-   GROUP_SUFFIXES suffixes is split by a prefix of three quarters, one for each half of the places that a window
-   can have about its anchor, and what is still too large by whole windows. Before that, suffixes of large groups with
-   the same words about them are merged, first within a task: all but the least document's repeat as a whole.
+2. Suffixes are split into groups by their first words: by half a window's words, or, where more than GROUP_SUFFIXES suffixes
+   share these, by three quarters of a window's, one prefix for each half of the places that a window can have about its anchor.
+   Groups by the longer prefix are dealt over salted parts, as many as the root of what could be in them.
 3. A task sorts a group's suffixes by their words and reads the tree from the common prefixes of neighbours: its internal
    nodes at depth d hold the suffixes that share d words. A window that starts b words before its anchor
    repeats where a node of depth window - b has another suffix with the same b words to its left. Neighbouring starts
    whose window occurs in a smaller document make up one maximal repeat.
-4. Groups by whole windows are one node each, of any size: its least document is a minimum, first by salted parts.
+4. Of a group in parts, each part hands on its least document of each window, and these meet by the whole window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -92,15 +92,27 @@ def profile(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, sha string, name long, grams array<long>")
 
 
-_SUFFIX = "gram long, size long, id long, name long, start int, before int, windows int, words binary"
+_SUFFIX = "gram long, part int, id long, name long, start int, before int, windows int, words binary"
 
 
 def suffixes(texts: DataFrame, window: int) -> DataFrame:
     """From rows (id, name, text, grams: array of struct<gram, size>): the anchored suffixes of shared runs.
 
-    gram, size (of the run's group), id, name, start (word index of the spell's first window), before (words from there to
-    the anchor), windows (of the spell), words (from the first window's start to the last one's end, joined by spaces; null:
-    the spell is known to repeat)."""
+    gram (hash of the group's prefix), part (-1: the group is whole), id, name, start (word index of the first window), before
+    (words from there to the anchor), windows (how many start there in a row), words (of all of them, joined by spaces)."""
+    size = window // 2
+    middle = (window - size + 1) // 2
+
+    def places(before: int, n: int) -> Iterator[tuple[bytes, int, int, int, int]]:
+        """The longer prefixes of windows at both halves of the places: salt, first window, windows, and the prefix's words.
+
+        Windows that start up to ``middle - 1`` words before the anchor have the words from there to ``window - middle + 1`` words
+        later in common; the others those from ``middle`` words before the anchor to the end of the half-window run."""
+        far = max(0, min(n, before - middle + 1))
+        if far:
+            yield b"far", 0, far, before - middle, before + size
+        if far < n:
+            yield b"near", far, n - far, before, before + window - middle + 1
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +122,8 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
             shared = batch.column(3)
             for first, last, body, offsets in slices(batch.column(2)):
                 begin, end, hashes, at = words(body, offsets, fold=False)
-                starts, places, grams = anchors(hashes, at, window)
-                new, until = _spells(starts, places, at)
+                starts, anchor, grams = anchors(hashes, at, window)
+                new, until = _spells(starts, anchor, at)
                 rows = np.searchsorted(at, starts[new], side="right") - 1
                 raw = body.tobytes()
                 for i in range(first, last):
@@ -125,96 +137,45 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
                     wanted, sizes = np.asarray(own.field(0), np.int64), np.asarray(own.field(1), np.int64)
                     order = np.argsort(wanted)
                     wanted, sizes = wanted[order], sizes[order]
-                    gram = grams[places[new[lo:hi]]].view(np.int64)
+                    gram = grams[anchor[new[lo:hi]]].view(np.int64)
                     k = np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)
+                    who = (int(ids[i]), int(names[i]))
                     for j in np.flatnonzero(wanted[k] == gram).tolist():
-                        s, z = int(starts[new[lo + j]]), int(starts[until[lo + j]])
-                        text = b" ".join(raw[begin[s] : end[z + window - 1]].split())
-                        out.append((int(gram[j]), int(sizes[k[j]]), int(ids[i]), int(names[i]), s - int(at[i - first]), int(places[new[lo + j]]) - s, z - s + 1, text))
-                        if len(out) >= CHUNK:
-                            yield _rows(_merged(out), _SUFFIX)
-                            out = []
+                        s, n = int(starts[new[lo + j]]), int(starts[until[lo + j]]) - int(starts[new[lo + j]]) + 1
+                        text = raw[begin[s] : end[s + n + window - 2]].split()
+                        before, many, at_ = int(anchor[new[lo + j]]) - s, int(sizes[k[j]]), s - int(at[i - first])
+                        if many <= GROUP_SUFFIXES:
+                            out.append((int(gram[j]), -1, *who, at_, before, n, b" ".join(text)))
+                            continue
+                        part = _hash(b"%d %d" % who, b"part") % math.isqrt(many)
+                        for salt, skip, own_n, x, y in places(before, n):
+                            out.append((_hash(b" ".join(text[x:y]), salt), part, *who, at_ + skip, before - skip, own_n, b" ".join(text[skip : skip + own_n + window - 1])))
+                    if len(out) >= CHUNK:
+                        yield _rows(out, _SUFFIX)
+                        out = []
         if out:
-            yield _rows(_merged(out), _SUFFIX)
+            yield _rows(out, _SUFFIX)
 
     return texts.select("id", "name", "text", "grams").mapInArrow(run, _SUFFIX)
 
 
-def _merged(out: list[tuple]) -> list[tuple]:
-    """Spells of the same words are one: all but those of the least document at hand repeat as a whole, and lose their words."""
-    least: dict[tuple, int] = {}
-    for gram, _, id, _, _, before, _, text in out:
-        least[gram, before, text] = min(id, least.get((gram, before, text), id))
-    return [(*row[:7], None) if row[2] > least[row[0], row[5], row[7]] else row for row in out]
-
-
 def _rows(out: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _halves(row: dict, window: int) -> Iterator[tuple[int, int, bytes]]:
-    """The two longer prefixes of a suffix: for each, the first window and the number of windows that it serves, and its words.
-
-    Windows that start up to ``middle - 1`` words before the anchor have the words from there to ``window - middle + 1`` words
-    later in common; the others those from ``middle`` words before the anchor to the end of the half-window run."""
-    size = window // 2
-    middle = (window - size + 1) // 2
-    text = row["words"].split()
-    before, n = row["before"], row["windows"]
-    far = max(0, min(n, before - middle + 1))  # windows that start ``middle`` or more words before the anchor
-    if far:
-        yield 0, far, b" ".join(text[before - middle : before + size])
-    if far < n:
-        yield far, n - far, b" ".join(text[before : before + window - middle + 1])
-
-
 def _hash(text: bytes, salt: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8, person=salt).digest(), "little", signed=True)
 
 
-def longer(rows: DataFrame, window: int) -> DataFrame:
-    """Suffixes of groups by half a window's words, split by prefixes of three quarters: one row for each half of the places."""
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                text = row["words"].split()
-                for k, (first, n, prefix) in enumerate(_halves(row, window)):
-                    own = b" ".join(text[first : first + n - 1 + window])
-                    out.append((_hash(prefix, b"far" if row["before"] - first >= (window - window // 2 + 1) // 2 else b"near"), 0, row["id"], row["name"], row["start"] + first, row["before"] - first, n, own))
-            if out:
-                yield _rows(out, _SUFFIX)
-
-    return rows.mapInArrow(run, _SUFFIX)
-
-
-def whole_windows(rows: DataFrame, window: int) -> DataFrame:
-    """A row for each window of the suffixes: node (128 bits of a cryptographic hash of its words), size, id, name, start."""
-    schema = "node binary, size long, id long, name long, start int"
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                out = []
-                for row in batch.slice(i, 2000).to_pylist():
-                    text = row["words"].split()
-                    for k in range(row["windows"]):
-                        node = hashlib.sha256(b" ".join(text[k : k + window])).digest()[:16]
-                        out.append((node, row["size"], row["id"], row["name"], row["start"] + k))
-                yield _rows(out, schema)
-
-    return rows.mapInArrow(run, schema)
+_FOUND = "id long, name long, start int, stop int, node binary, starts binary"
 
 
 def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """id, name, start, stop of window starts that repeat in a smaller document, from suffixes sorted by group (``gram``)."""
-    schema = "id long, name long, start int, stop int"
-    columns = ["gram", "id", "name", "start", "before", "windows", "words"]
+    """From suffixes sorted by group and part: id, name, start, stop of window starts that repeat in a smaller document; and for
+    groups in parts each window's least document there, with the window's ``node`` (128 bits of SHA-256) and ``starts``."""
+    columns = ["gram", "part", "id", "name", "start", "before", "windows", "words"]
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,18 +188,18 @@ def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
             n += batch.num_rows
             if n >= CHUNK:  # the last group may go on in the next batch
                 table = pa.Table.from_batches(held).combine_chunks()
-                gram = np.asarray(table.column(0))
-                whole = int(np.searchsorted(np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])), np.sum(gram[1:] != gram[:-1])))
-                if whole:
-                    yield from solve(table.slice(0, whole))
-                    held = table.slice(whole).combine_chunks().to_batches()
-                    n = table.num_rows - whole
+                gram, part = (np.asarray(table.column(i)) for i in range(2))
+                new = np.flatnonzero((gram[1:] != gram[:-1]) | (part[1:] != part[:-1])) + 1
+                if len(new):
+                    yield from solve(table.slice(0, int(new[-1])))
+                    held = table.slice(int(new[-1])).combine_chunks().to_batches()
+                    n = table.num_rows - int(new[-1])
         if n:
             yield from solve(pa.Table.from_batches(held))
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram, ids, names, start, before, windows = (np.asarray(table.column(i), np.int64) for i in range(6))
-        split = [w.split() for w in table.column(6).to_pylist()]
+        gram, part, ids, names, start, before, windows = (np.asarray(table.column(i), np.int64) for i in range(7))
+        split = [w.split() for w in table.column(7).to_pylist()]
         flat = list(chain.from_iterable(split))
         number = {w: k for k, w in enumerate(dict.fromkeys(flat))}
         flat = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
@@ -247,11 +208,11 @@ def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
         # words from the anchor on, and leftwards from it; -1 - row beyond the text, which equals nothing
         ahead = _aligned(flat, at + before, size - before, window)
         left = _aligned(flat, at + before - 1, before, window - window // 2, -1)
-        order = np.lexsort((*[ahead[:, k] for k in range(window - 1, -1, -1)], gram))
-        gram, ids, names, start, before, windows, ahead, left = (x[order] for x in (gram, ids, names, start, before, windows, ahead, left))
+        order = np.lexsort((*[ahead[:, k] for k in range(window - 1, -1, -1)], part, gram))
+        gram, part, ids, names, start, before, windows, ahead, left = (x[order] for x in (gram, part, ids, names, start, before, windows, ahead, left))
         same = ahead[1:] == ahead[:-1]
         common = np.where(same.all(1), window, same.argmin(1))  # words that neighbours in the order share
-        common[gram[1:] != gram[:-1]] = -1
+        common[(gram[1:] != gram[:-1]) | (part[1:] != part[:-1])] = -1
         found: list[tuple[np.ndarray, np.ndarray]] = []
         context = np.zeros(len(gram), np.int64)  # number of the words to the left, of the length in hand
         for b in range(window - window // 2 + 1):
@@ -266,6 +227,9 @@ def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
             np.minimum.at(least, place, ids[use])
             hit = use[ids[use] > least[place]]
             found.append((hit, start[hit] + before[hit] - b))
+            first = np.flatnonzero((ids[use] == least[place]) & (part[use] >= 0))
+            if len(first):
+                yield from handed_on(use[first], place[first], names, ids, start[use[first]] + before[use[first]] - b, [split[order[r]][before[r] - b : before[r] - b + window] for r in use[first].tolist()])
         row = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         if not len(row):
             return
@@ -274,9 +238,44 @@ def tree_repeats(rows: DataFrame, window: int) -> DataFrame:
         row, pos = row[order], pos[order]
         new = np.flatnonzero(np.concatenate([[True], (ids[row][1:] != ids[row][:-1]) | (names[row][1:] != names[row][:-1]) | (pos[1:] > pos[:-1] + 1)]))
         last = np.concatenate([new[1:], [len(row)]]) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row][new]), pa.array(names[row][new]), pa.array(pos[new].astype(np.int32)), pa.array((pos[last] + 1).astype(np.int32))], names=["id", "name", "start", "stop"])
+        yield _found_rows(ids[row][new], names[row][new], pos[new], pos[last] + 1)
+
+    def handed_on(rows: np.ndarray, place: np.ndarray, names: np.ndarray, ids: np.ndarray, pos: np.ndarray, text: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        """A row for each window and text of its least document, with all its starts there."""
+        order = np.lexsort((pos, names[rows], place))
+        rows, place, pos = rows[order], place[order], pos[order]
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (names[rows][1:] != names[rows][:-1])]))
+        node = [hashlib.sha256(b" ".join(text[order[i]])).digest()[:16] for i in new.tolist()]
+        starts = [x.astype(np.int32).tobytes() for x in np.split(pos, new[1:])]
+        yield _found_rows(ids[rows][new], names[rows][new], pos[new], pos[new] + 1, node, starts)
+
+    return rows.select(*columns).mapInArrow(run, _FOUND)
+
+
+def _found_rows(ids, names, start, stop, node=None, starts=None) -> pa.RecordBatch:
+    n = len(ids)
+    columns = [pa.array(ids), pa.array(names), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), *[pa.nulls(n, pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (node, starts)]]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "name", "start", "stop", "node", "starts"])
+
 
-    return rows.select(*columns).mapInArrow(run, schema)
+def met(rows: DataFrame) -> DataFrame:
+    """From what parts hand on, dealt and sorted by node and id: the starts in documents other than the node's least."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, least = None, 0
+        for batch in batches:
+            ids, names, nodes, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), []
+            for i, x in enumerate(nodes):
+                if x != node:
+                    node, least = x, ids[i]
+                elif ids[i] > least:
+                    out += [(ids[i], names[i], s) for s in np.frombuffer(batch.column(5)[i].as_py(), np.int32).tolist()]
+            if out:
+                ids, names, start = (np.array(c, np.int64) for c in zip(*out, strict=True))
+                yield _found_rows(ids, names, start, start + 1)
+
+    return rows.mapInArrow(run, _FOUND)
 
 
 def _aligned(flat: np.ndarray, first: np.ndarray, n: np.ndarray, width: int, step: int = 1) -> np.ndarray:
@@ -286,22 +285,6 @@ def _aligned(flat: np.ndarray, first: np.ndarray, n: np.ndarray, width: int, ste
     return np.where(k < n[:, None], flat[at].astype(np.int64), -1 - np.arange(len(first))[:, None])
 
 
-def _by_node(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id is their ``node``'s least, and the others. Nodes of any size are met in parts, of about the root of ``size``."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.ceil(F.sqrt(F.col("size").cast("double")))).cast("int"))
-    parts = rows.groupBy("node", "salt").agg(F.min("id").alias("least"))
-    answers = parts.join(parts.groupBy("node").agg(F.min("least").alias("all")), "node").select("node", "salt", F.col("all").alias("least"))
-    rows = cut(rows.join(answers, ["node", "salt"]).drop("salt"))
-    return rows.where("id = least").drop("node", "least"), rows.where("id > least")
-
-
-def _sized(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Suffixes (a stored table) of groups that fit, and of those that don't, with their groups' present sizes."""
-    rows = rows.drop("size")
-    rows = cut(spread_join(rows, rows.groupBy("gram").agg(F.count("*").alias("size")), ["gram"], "size", total).select(*[f.split()[0] for f in _SUFFIX.split(", ")]))
-    return rows.where(F.col("size") <= GROUP_SUFFIXES), rows.where(F.col("size") > GROUP_SUFFIXES)
-
-
 def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Profiles, the least document of each word sequence, the texts that matter, and repeats (id, name, start, stop)."""
     spark = docs.sparkSession
@@ -316,25 +299,10 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     wanted = spread_join(grams, shared, ["gram"], "n", grams.count()).groupBy("id", "name").agg(F.collect_list(F.struct("gram", "size")).alias("grams"))
     texts = cut(docs.select("doc_id", "text").join(wanted, F.expr("doc_id = id")).select("id", "name", "text", "grams"))
     rows = cut(suffixes(texts, window))
-    total = rows.count()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_SUFFIXES)
-    grouped = lambda df: tree_repeats(df.repartition(tasks, "gram").sortWithinPartitions("gram"), window)
-    whole = lambda df: df.select("id", "name", "start", F.expr("start + windows").alias("stop"))
-    found = whole(rows.where("words IS NULL"))
-    rows = rows.where("words IS NOT NULL")
-    found = found.union(grouped(rows.where(F.col("size") <= GROUP_SUFFIXES)))
-    small, large = _sized(rows.where(F.col("size") > GROUP_SUFFIXES), total)
-    found = found.union(grouped(small))
-    if not large.isEmpty():
-        key = [F.col(c).cast("string").cast("binary") for c in ("before", "windows")]
-        alike, twice = _by_node(large.withColumn("node", F.sha2(F.concat(key[0], F.lit(" ").cast("binary"), key[1], F.lit(" ").cast("binary"), "words"), 256)))
-        found = found.union(whole(twice))
-        small, large = _sized(alike, total)
-        found = found.union(grouped(small))
-        small, large = _sized(cut(longer(large, window)), 2 * total)
-        found = found.union(grouped(small))
-        _, twice = _by_node(cut(whole_windows(large, window)))
-        found = found.union(twice.select("id", "name", "start", F.expr("start + 1").alias("stop")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK_SUFFIXES)
+    found = cut(tree_repeats(rows.repartition(tasks, "gram", "part").sortWithinPartitions("gram", "part"), window))
+    across = met(found.where("node IS NOT NULL").repartition(tasks, "node").sortWithinPartitions("node", "id"))
+    found = found.where("node IS NULL").union(across).select("id", "name", "start", "stop")
     return seen, least, texts, found
 
 
