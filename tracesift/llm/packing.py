@@ -94,16 +94,11 @@ class _Encoder:
         whole, *parts = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
         return whole == [i for p in parts for i in p]
 
-    def _ends(self, core: bytes) -> bool:
-        """Whether a word ends in a character that the tokenizer reads as letters only, so that signs after it are a part of their own.
+    def _ends(self, last: str) -> bool:
+        """Whether the tokenizer reads a character as letters only, so that signs after it are a part of their own.
 
         Its normaliser may take a letter apart into a letter and a mark, which would go with the signs."""
-        if core[-1] < 128:
-            return core[-1:].isalpha()
-        last = core.decode()[-1]
-        if last not in self.parting:
-            self.parting[last] = last.isalpha() and self._parts([last + SIGNS, last, SIGNS]) and self._parts(["a" + last + SIGNS, "a" + last, SIGNS])
-        return self.parting[last]
+        return last.isalpha() and self._parts([last + SIGNS, last, SIGNS]) and self._parts(["a" + last + SIGNS, "a" + last, SIGNS])
 
     def _ids(self, new: list[bytes]) -> None:
         """Encodes new entries of ``cores``."""
@@ -133,14 +128,22 @@ class _Encoder:
             self.cores.add(some, np.delete(ids, marks), np.diff(marks, prepend=-1) - 1)
 
     def _learn(self, new: list[bytes]) -> None:
-        parts, signs = [], SIGNS.encode()
+        parts, signs, ends = [], SIGNS.encode(), self.parting
         for w in new:
             core = w.rstrip(signs) if self.split_marks and b"<|" not in w else w
-            # a letter before the signs, or they belong to what precedes
-            if core and len(core) < len(w) and self._ends(core):
-                parts += (core, w[len(core) :])
-            else:
-                parts += (w, b"")
+            if core and len(core) < len(w):
+                # a letter before the signs, or they belong to what precedes
+                if core[-1] < 128:
+                    alone = core[-1:].isalpha()
+                else:
+                    last = core[-4:].decode(errors="ignore")[-1]
+                    alone = ends.get(last)
+                    if alone is None:
+                        alone = ends[last] = self._ends(last)
+                if alone:
+                    parts += (core, w[len(core) :])
+                    continue
+            parts += (w, b"")
         if self.cores.known > CORES_KEPT:
             self.cores = _Store()
         fresh = list(set(parts).difference(self.cores.at))
