@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tracesift.llm.scratch import cut, fresh, frugal, held
 
 CAPACITY = 4096
-WORDS_KEPT, CORES_KEPT, HOT = 500_000, 1_200_000, 15_000
+WORDS_KEPT, CORES_KEPT, HOT = 500_000, 1_200_000, 120_000
 #: A control character that is a token of its own.
 MARK = "\x01"
 SIGNS = ".,;:!?%$&#*"
@@ -49,7 +49,7 @@ class _Store:
         self.used, self.known = self.used + len(ids), self.known + len(words)
 
     def hot(self) -> dict[bytes, int]:
-        """The entries met first, which are the frequent ones; few enough for a processor's cache."""
+        """The entries met first, which are the frequent ones; few enough for a processor's larger caches."""
         if not self.first and self.known > HOT:
             self.first = dict(islice(self.at.items(), HOT))
         return self.first
@@ -81,6 +81,8 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark_ids = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.split_marks = split_marks and self._parts(["a" + SIGNS, "a", SIGNS]) and self._parts(["é" + SIGNS, "é", SIGNS])
+        #: Whether ASCII letters of either case have the same ids, also below marks that the normaliser joins to them.
+        self.folds = all(self._same(t, t.lower()) for t in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "E\u0301 A\u030a O\u0308x", "It'S DON'T WE'LL", "X1Y2.Z"))
         self.parting: dict[str, bool] = {}
         self.words, self.earlier, self.cores = _Store(), _Store(), _Store()
         vocab = self.tokenizer.get_vocab()
@@ -90,6 +92,9 @@ class _Encoder:
             self.closes = np.zeros(max(vocab.values()) + 1, bool)
             self.closes[closing] = True
 
+    def _same(self, a: str, b: str) -> bool:
+        return self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(b, add_special_tokens=False).ids
+
     def _parts(self, texts: list[str]) -> bool:
         whole, *parts = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
         return whole == [i for p in parts for i in p]
@@ -130,7 +135,12 @@ class _Encoder:
     def _learn(self, new: list[bytes]) -> None:
         parts, signs, ends = [], SIGNS.encode(), self.parting
         for w in new:
-            core = w.rstrip(signs) if self.split_marks and b"<|" not in w else w
+            if not self.split_marks or b"<|" in w:
+                parts += (w, b"")
+                continue
+            if self.folds:
+                w = w.lower()
+            core = w.rstrip(signs)
             if core and len(core) < len(w):
                 # a letter before the signs, or they belong to what precedes
                 if core[-1] < 128:
