@@ -231,7 +231,7 @@ def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
 def _links(reps: DataFrame, docs: DataFrame, width: int, num: int, den: int, block_shingles: int) -> DataFrame:
     """Verified links (a, b: nodes of ``reps``), enough of them to connect all that bands bring together."""
     banded = reps.select("node", "n_shingles", F.explode(F.array_distinct("bands")).alias("band"))
-    lowest = banded.groupBy("band").agg(F.min("node").alias("grp"), F.max("node").alias("high"), F.count("*").alias("n")).where("grp < high").select("band", "grp", "n")
+    lowest = cut(banded.groupBy("band").agg(F.min("node").alias("grp"), F.max("node").alias("high"), F.count("*").alias("n")).where("grp < high").select("band", "grp", "n"))
     n_bands = reps.count() * (BUCKETS // rows_a_band(num / den))
     star = cut(spread_join(banded, lowest, ["band"], "n", n_bands).select("node", "n_shingles", "grp").distinct())
     total = star.groupBy("grp").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1")
@@ -294,7 +294,7 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bloc
     label = components(_links(reps, docs, width, num, den, block_shingles)).toDF("node", "label")
     label = cut(reps.select("node", "doc_id", "text_hash", *digest, "rows").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
     best = label.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"), F.count("*").alias("n"))
-    named = spread_join(label.select("label", *digest, "rows"), best, ["label"], "n", label.count()).select(*digest, "rows", "best")
+    named = cut(spread_join(label.select("label", *digest, "rows"), best, ["label"], "n", label.count()).select(*digest, "rows", "best"))
     out = spread_join(known.drop("bands"), named, digest, "rows", sig.count())
     none = sig.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").drop("bands").withColumn("rows", F.lit(0).cast("long")).withColumn("best", F.struct(F.when(F.col("n_shingles") == 0, F.col("doc_id").cast("long")).alias("doc_id"), "text_hash"))
     out = out.unionByName(none)
