@@ -12,10 +12,11 @@ from __future__ import annotations
 import os
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +24,9 @@ from pyspark.sql.window import Window
 from tracesift.llm.scratch import cut, fresh, frugal, held
 
 CAPACITY = 4096
-WORDS_KEPT, CORES_KEPT, HOT = 500_000, 1_200_000, 120_000
+WORDS_KEPT, CORES_KEPT = 500_000, 1_200_000
+#: Bytes of text that are encoded at once: a word is looked up once in them.
+RUN_BYTES = 1 << 22
 #: A control character that is a token of its own.
 MARK = "\x01"
 SIGNS = ".,;:!?%$&#*"
@@ -34,7 +37,6 @@ class _Store:
 
     def __init__(self):
         self.at: dict[bytes, int] = {b"": 0}
-        self.first: dict[bytes, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.ends, self.known = np.zeros(1 << 14, np.int64), 1
 
@@ -48,12 +50,6 @@ class _Store:
         self.at.update(zip(words, range(self.known, self.known + len(words)), strict=True))
         self.used, self.known = self.used + len(ids), self.known + len(words)
 
-    def hot(self) -> dict[bytes, int]:
-        """The entries met first, which are the frequent ones; few enough for a processor's larger caches."""
-        if not self.first and self.known > HOT:
-            self.first = dict(islice(self.at.items(), HOT))
-        return self.first
-
     def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the entries in a row, and each entry's count."""
         ends = self.ends[entries]
@@ -166,16 +162,13 @@ class _Encoder:
         """All ids in a row, and each text's count, of texts in UTF-8."""
         if self.words.known > WORDS_KEPT:
             self.words, self.earlier = _Store(), self.words
-        split = [t.split() for t in texts]  # bytes.split knows ASCII white space only
-        flat = list(chain.from_iterable(split))
-        entries = np.fromiter(map(self.words.hot().get, flat, repeat(-1)), np.int64, len(flat))
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))  # may give empty words, which have no ids
+        coded = split.flatten().dictionary_encode()
+        flat = coded.dictionary.cast(pa.large_binary()).to_pylist()  # each word of these texts once
+        entries = np.fromiter(map(self.words.at.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(entries < 0)
-        rest = [flat[i] for i in missing.tolist()]
-        entries[missing] = np.fromiter(map(self.words.at.get, rest, repeat(-1)), np.int64, len(rest))
-        missing = np.flatnonzero(entries < 0).tolist()
-        if missing:
-            unknown = [flat[i] for i in missing]
-            new = list(dict.fromkeys(unknown))
+        if len(missing):
+            unknown = new = [flat[i] for i in missing.tolist()]
             before = np.fromiter(map(self.earlier.at.get, new, repeat(-1)), np.int64, len(new))
             again = np.flatnonzero(before >= 0).tolist()
             if again:  # still known from before the last change of stores
@@ -183,8 +176,10 @@ class _Encoder:
                 new = [new[i] for i in np.flatnonzero(before < 0).tolist()]
             self._learn(new)
             entries[missing] = [self.words.at[w] for w in unknown]
+        entries = entries[np.asarray(coded.indices)]
+        ends = np.asarray(split.offsets)
         ids, n = self.words.gather(entries)
-        upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(ws) for ws in split])])]
+        upto = np.concatenate([[0], np.cumsum(n)])[ends - ends[0]]
         return ids, np.diff(upto)
 
 
@@ -206,7 +201,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             for i, t in enumerate(texts):
                 texts[i] = t = t or b""
                 weight += len(t)
-                if weight > 1 << 20 or i + 1 == len(texts):
+                if weight > RUN_BYTES or i + 1 == len(texts):
                     yield piece(batch.column(0).slice(at, i + 1 - at), *coder.encode(texts[at : i + 1]))
                     weight, at = 0, i + 1
 
