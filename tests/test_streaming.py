@@ -89,3 +89,77 @@ def test_rules_of_one_sampler_share_its_counts(spark):
     assert {r.rate for r in got if r.trace_id.startswith("2-")} == {r.rate for r in D.decide(spans, sampler).collect() if r.trace_id.startswith("2-")} == {4}
     assert {r.reason for r in got} == {"rules/trace/even:dynamic", "rules/trace/odd:dynamic"}
     assert S.state_key("p", sampler) != S.state_key("q", sampler) == S.state_key("q", S.Dynamic(4, ("type",), 30))
+
+
+class _Kept:
+    """State of one key, as the assembler reads and writes it; each access is counted."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers, self.n = None, [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return type("", (), {"get": lambda _: self._do(self.value), "update": lambda _, x: self._do(setattr(self, "value", x)), "clear": lambda _: self._do(setattr(self, "value", None))})()
+
+    def _do(self, out=None):
+        self.n += 1
+        return out
+
+    def get(self):
+        return self._do(iter(list(self.rows)))
+
+    def put(self, rows):
+        self._do(setattr(self, "rows", list(rows)))
+
+    def clear(self):
+        self._do(self.rows.clear())
+
+    def appendValue(self, row):
+        self._do(self.rows.append(row))
+
+    def registerTimer(self, at):
+        self._do(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._do(self.timers.remove(at))
+
+
+def test_one_call_takes_many_traces():
+    """500 traces over three batches are sent as each by itself, with a handful of accesses to state a call."""
+    import random
+
+    import pandas as pd
+    from pyspark.sql.types import BooleanType, LongType, StringType, StructType
+
+    timing, draw = T.Timing(60, 2, 3), random.Random(5)
+    schema = StructType().add("trace_id", StringType()).add("is_root", BooleanType()).add("at_ms", LongType()).add("event_id", LongType())
+    records = sorted(((f"t{draw.randrange(500)}", draw.random() < 0.2, draw.randrange(300_000), i) for i in range(3000)), key=lambda r: r[2])
+
+    def after(state, op, batch, watermark):
+        clock = type("", (), {"getCurrentWatermarkInMs": lambda _: watermark})()
+        out = list(op.handleInputRows((0,), iter([pd.DataFrame(batch, columns=schema.fieldNames())]), clock)) if batch else []
+        for at in sorted(t for t in state.timers if t <= watermark):
+            state.timers.discard(at)
+            out += op.handleExpiredTimer((0,), clock, type("", (), {"getExpiryTimeInMs": lambda _, at=at: at})())
+        return [tuple(r) for x in out for r in x.itertuples(index=False)]
+
+    def run(of):
+        state, op = _Kept(), assembly.Assembler(schema, timing, True)
+        op.init(state)
+        got, before = [], 0
+        for end in (100_000, 200_000, 300_000, 10**9):
+            got += after(state, op, [r for r in of if before <= r[2] < end], end)
+            before = end
+        return got, state
+
+    together, state = run(records)
+    apart = [x for t in {r[0] for r in records} for x in run([r for r in records if r[0] == t])[0]]
+    assert sorted(together) == sorted(apart) and len(together) == len(records)
+    assert {x[-2] for x in together} == {T.GOT_ROOT, T.LIMIT, T.EXPIRED, T.LATE} and state.n < 60 and not state.rows
+    # by rule: the first arrival's timeout, the first root's delay and the record after the limit, whichever comes first
+    for t in {r[0] for r in records}:
+        own = [r for r in records if r[0] == t]
+        send_by = min([own[0][2] + 60_000, *[r[2] + 2000 for r in own if r[1]][:1], *[r[2] for r in own[3:4]]])
+        assert {(x[3], x[4], x[6]) for x in together if x[0] == t} == {(r[3], send_by, r[2] > send_by) for r in own}

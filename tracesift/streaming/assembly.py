@@ -8,13 +8,14 @@ micro-batch by the same plan as in batch, kept in a table, and late records meet
 from __future__ import annotations
 
 import inspect
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from tracesift.operators import timing as T
 from tracesift.plans.decide import tally
@@ -23,14 +24,18 @@ from tracesift.streaming.memory import Counts, Decisions
 
 #: For so long a sent trace and the samplers' counts are remembered.
 MEMORY_MS = 24 * 3600 * 1000
+#: Traces share so many keys of state. Fixed, as a checkpoint holds its traces by them.
+BUCKETS = 1024
 
 
 class Assembler(StatefulProcessor):
-    """State by trace: its open records, and its due time, count, root flag and whether it was sent.
+    """State by bucket of traces: its open records, and of each trace the due time, count, root flag and whether it was sent.
 
     Records carry ``at_ms``, their arrival. In a replay these are the clock and the watermark drives the timers; else the
-    cluster's time does both. Columns: trace_id, is_root, at_ms and any others. State is read once and written once a call,
-    as each access is a message to the executor's JVM. A sent trace is remembered for ``memory_ms`` and then forgotten by a timer."""
+    cluster's time does both. Columns: trace_id, is_root, at_ms and any others. Each access to state is a message to the
+    executor's JVM and each call makes a frame, which costs far more than a record does; so a call takes a whole bucket, whose
+    state is read once and written once. Its one timer is that of the trace that is due first. Records wait as pickled columns,
+    a chunk a batch, which are read only when one of their traces is sent. A sent trace is remembered for ``memory_ms``."""
 
     def __init__(self, schema: StructType, timing: T.Timing, replay: bool, memory_ms: int = MEMORY_MS):
         self.schema, self.timing, self.replay, self.memory_ms = schema, timing, replay, memory_ms
@@ -38,73 +43,97 @@ class Assembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", self.schema)
-        self.status = handle.getValueState("status", StructType([StructField("send_by", LongType()), StructField("n", LongType()), StructField("has_root", BooleanType()), StructField("sent", BooleanType())]))
+        self.open = handle.getListState("open", StructType([StructField("columns", BinaryType())]))
+        self.status = handle.getValueState("status", StructType([StructField("timer", LongType()), StructField("traces", BinaryType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = None if self.replay else timerValues.getCurrentProcessingTimeInMs()
-        at_, root_ = self.names.index("at_ms"), self.names.index("is_root")
-        new = [r for pdf in rows for r in zip(*[pdf[c].tolist() for c in self.names], strict=True)]
-        if now is not None:
-            new = [(*r[:at_], now, *r[at_ + 1 :]) for r in new]
-        before = self.status.get()
-        timer = before[0] if before is not None and not before[3] else None  # of an open trace
-        send_by, n, has_root, sent = before if before is not None else (None, 0, False, False)
-        fresh: list[tuple] = []
-        out: list[tuple] = []
-        for r in sorted(new, key=lambda r: r[at_]):
-            at = int(r[at_])
+        new = pd.concat([pdf[self.names] for pdf in rows], ignore_index=True)
+        if not self.replay:
+            new["at_ms"] = timerValues.getCurrentProcessingTimeInMs()
+        timer, traces = self._traces()
+        ids, ats, roots = new["trace_id"].tolist(), new["at_ms"].tolist(), new["is_root"].tolist()
+        late = [False] * len(ids)
+        waiting, now_sent = {t for t, x in traces.items() if not x[3]}, set()
+        timeout, delay, limit = 1000 * self.timing.timeout(), 1000 * self.timing.delay(), self.timing.limit
+        for i in sorted(range(len(ids)), key=ats.__getitem__):
+            at = int(ats[i])
+            send_by, n, has_root, sent = traces.get(ids[i]) or (None, 0, False, False)
             if not sent and send_by is not None and at > send_by:
-                held = [tuple(x) for x in self.open.get()] if timer is not None else []
-                out += self._marked(held + fresh, send_by, self._reason(n, has_root))
-                fresh, sent = [], True
+                sent = True
+                now_sent.add(ids[i])
+                traces[ids[i]] = (send_by, n, has_root, True)
             if sent:
-                out.append((*r, send_by, T.LATE, True))
+                late[i] = True
                 continue
-            send_by = at + 1000 * self.timing.timeout() if send_by is None else send_by
+            send_by = at + timeout if send_by is None else send_by
             n += 1
-            if r[root_]:
-                send_by, has_root = min(send_by, at + 1000 * self.timing.delay()), True
-            if self.timing.limit and n > self.timing.limit:
+            if roots[i]:
+                send_by, has_root = min(send_by, at + delay), True
+            if limit and n > limit:
                 send_by = min(send_by, at)
-            fresh.append(r)
-        if before is None or not before[3]:
-            due = send_by + self.memory_ms if sent else send_by
-            if timer is not None and timer != due:
-                self.handle.deleteTimer(timer)
-            if timer != due:
-                self.handle.registerTimer(due)
-            if sent and timer is not None:
-                self.open.clear()
-            elif fresh:
-                self.open.appendList(fresh)
-            self.status.update((send_by, n, has_root, sent))
-        if out:
-            yield self._frame(out)
+            traces[ids[i]] = (send_by, n, has_root, False)
+        late_, goes = pd.Series(late, dtype=bool), new["trace_id"].isin(now_sent)
+        held = self._taken(now_sent) if now_sent & waiting else new[:0]
+        out = [self._marked(held, traces), self._marked(new[goes & ~late_], traces), self._marked(new[late_], traces, True)]
+        stays = new[~goes & ~late_]
+        if len(stays):
+            self.open.appendValue((self._packed(stays),))
+        self._remember(timer, traces)
+        yield from (x for x in out if len(x))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status = self.status.get()
-        if status is None:
-            return
-        send_by, n, has_root, sent = status
-        if sent:
+        now = timerValues.getCurrentWatermarkInMs() if self.replay else timerValues.getCurrentProcessingTimeInMs()
+        now = max(now, expiredTimerInfo.getExpiryTimeInMs())
+        _, traces = self._traces()
+        traces = {t: x for t, x in traces.items() if not x[3] or x[0] + self.memory_ms > now}
+        due = {t for t, x in traces.items() if not x[3] and x[0] <= now}
+        if due:
+            out = self._marked(self._taken(due), traces)
+            for t in due:
+                traces[t] = (*traces[t][:3], True)
+        self._remember(None, traces)
+        if due:
+            yield out
+
+    def _traces(self) -> tuple[int | None, dict]:
+        """The timer that is set, and by trace (send_by, n, has_root, sent)."""
+        known = self.status.get()
+        return (known[0], pickle.loads(bytes(known[1]))) if known is not None else (None, {})
+
+    def _remember(self, timer: int | None, traces: dict) -> None:
+        """``timer``: the one that is set. Without any trace nothing is remembered."""
+        first = min((x[0] + self.memory_ms if x[3] else x[0] for x in traces.values()), default=None)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
             self.status.clear()
             return
-        out = self._marked([tuple(r) for r in self.open.get()], send_by, self._reason(n, has_root))
-        self.open.clear()
-        self.status.update((send_by, n, has_root, True))
-        self.handle.registerTimer(send_by + self.memory_ms)
-        yield self._frame(out)
+        if timer != first:
+            self.handle.registerTimer(first)
+        self.status.update((first, pickle.dumps(traces, 5)))
+
+    def _packed(self, rows: pd.DataFrame) -> bytes:
+        return pickle.dumps([rows[c].to_numpy() for c in self.names], 5)
+
+    def _taken(self, traces: set) -> pd.DataFrame:
+        """The open records of these traces, which are open no longer."""
+        chunks = [pd.DataFrame(dict(zip(self.names, pickle.loads(bytes(x[0])), strict=True))) for x in self.open.get()]
+        rows = pd.concat(chunks, ignore_index=True)
+        goes = rows["trace_id"].isin(traces)
+        if goes.all():
+            self.open.clear()
+        else:
+            self.open.put([(self._packed(rows[~goes]),)])
+        return rows[goes]
+
+    def _marked(self, rows: pd.DataFrame, traces: dict, late: bool = False) -> pd.DataFrame:
+        known = [traces[t] for t in rows["trace_id"].tolist()]
+        reasons = T.LATE if late else [self._reason(x[1], x[2]) for x in known]
+        return rows.assign(send_by_ms=pd.Series([x[0] for x in known], rows.index, dtype="int64"), send_reason=reasons, late=late)
 
     def _reason(self, n: int, has_root: bool) -> str:
         return T.GOT_ROOT if has_root else T.LIMIT if self.timing.limit and n > self.timing.limit else T.EXPIRED
 
-    def _marked(self, rows: list[tuple], send_by: int, reason: str) -> list[tuple]:
-        return [(*r, send_by, reason, False) for r in rows]
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*self.names, *(f.name for f in ADDED)])
-
     def close(self) -> None:
         pass
 
@@ -122,7 +151,8 @@ def assembled(records: DataFrame, timing: T.Timing, replay: str | None = None, m
     schema = records.schema
     if replay is not None:
         records = records.withWatermark("ts", replay)
-    return records.groupBy("trace_id").transformWithStateInPandas(Assembler(schema, timing, replay is not None, memory_ms), StructType([*schema.fields, *ADDED]), "Append", "ProcessingTime" if replay is None else "EventTime")
+    records = records.withColumn("_bucket", F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)))
+    return records.groupBy("_bucket").transformWithStateInPandas(Assembler(schema, timing, replay is not None, memory_ms), StructType([*schema.fields, *ADDED]), "Append", "ProcessingTime" if replay is None else "EventTime")
 
 
 def run(records: DataFrame, timing: T.Timing, decide: Callable[..., DataFrame], out: str, checkpoint: str, replay: str | None = None, trigger: dict | None = None, memory_ms: int = MEMORY_MS):
