@@ -141,3 +141,19 @@ def test_delivery(spark, tmp_path):
         return 200, [202] * (1 if name == "short" else len(pdf)), None
 
     assert {r.id: r.status for r in deliver(df, send, lambda s: None).collect()} == {1: 202, 2: 202, 3: 202, 4: 503, 5: 202, 6: 400, 7: 202, 8: 500}
+
+
+@pytest.mark.parametrize("name", ["otlp_traces", "otlp_events"])
+def test_requests_do_not_grow_with_the_table(spark, sf_dir, monkeypatch, name):
+    """Ten times the order lines are more requests of at most as many spans, and none is lost."""
+    from tracesift.queries import extract
+    from tracesift.sources import bodies
+    from tracesift.sources.spans import Spans, line_spans
+
+    lines = line_spans(spark, sf_dir).df.crossJoin(spark.range(10).select(F.col("id").alias("copy"))).withColumn("trace_id", F.concat_ws("-", "trace_id", "copy")).drop("copy")
+    made = []
+    monkeypatch.setattr(extract, "line_spans", lambda *_: Spans(lines))
+    monkeypatch.setattr(bodies, "otlp_traces", lambda requests, body, run=bodies.otlp_traces: made.append(requests) or run(requests, body))
+    extract.QUERIES[name][0](spark, sf_dir)
+    sizes = [r.n for r in made[0].select(F.size(F.from_json("body", bodies.TRACES)["resourceSpans"][0]["scopeSpans"][0]["spans"]).alias("n")).collect()]
+    assert max(sizes) <= 500 and sum(sizes) == lines.count()

@@ -95,13 +95,22 @@ def _batch_bodies(spark, sf_dir):
     return out.select(F.try_variant_get("data", "$.event_id", "long").alias("event_id"), F.try_variant_get("data", "$.type", "string").alias("type"), "sample_rate", F.unix_millis("ts").alias("ms"))
 
 
+#: A request holds at most so many records, however large the table is.
+REQUEST = 500
+
+
+def _numbered(records):
+    """Records with their ``request``: consecutive ones of a partition, so that more records are more requests, not larger ones."""
+    return records.withColumn("request", F.expr(f"monotonically_increasing_id() div {REQUEST}"))
+
+
 def _otlp(spark, sf_dir):
     l = line_spans(spark, sf_dir).df
     attr = lambda k, kind, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias(kind)).alias("value"))
     span = F.struct(F.col("trace_id").alias("traceId"), F.concat_ws("-", "part", "supplier", "line").alias("spanId"), F.when(~F.col("is_root"), F.lit("p")).otherwise("").alias("parentSpanId"), F.col("status").alias("name"), F.lit("1704067200000000000").alias("startTimeUnixNano"), F.lit("1704067201500000000").alias("endTimeUnixNano"), F.array(F.struct(F.lit("flag").alias("key"), F.struct(F.col("flag").alias("stringValue")).alias("value"))).alias("attributes"))
     scope = F.struct(F.struct(F.lit("lib").alias("name")).alias("scope"), F.collect_list(span).alias("spans"))
     resource = F.array(attr("service.name", "stringValue", F.first("flag")))
-    body = l.groupBy((F.col("part") % 64).alias("request")).agg(F.to_json(F.struct(F.array(F.struct(F.struct(resource.alias("attributes")).alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))).alias("body"))
+    body = _numbered(l).groupBy("request").agg(F.to_json(F.struct(F.array(F.struct(F.struct(resource.alias("attributes")).alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))).alias("body"))
     out = bodies.otlp_traces(body, "body")
     return out.groupBy("trace_id").agg(F.count("*").alias("n"), F.count_if("is_root").alias("n_roots"), F.sum("duration_ms").alias("ms"), F.count_if(F.col("attributes")["flag"] == "R").alias("n_returned"))
 
@@ -127,7 +136,7 @@ def _otlp_events(spark, sf_dir):
     event = F.struct((F.lit(_NANOS) + F.col("line") * 1_000_000).cast("string").alias("timeUnixNano"), F.col("flag").alias("name"), attributes("intValue", F.col("line")).alias("attributes"))
     link = F.struct(F.col("supplier").cast("string").alias("traceId"), F.lit("s").alias("spanId"), attributes("doubleValue", F.col("line")).alias("attributes"))
     span = F.struct(F.col("trace_id").alias("traceId"), F.col("line").cast("string").alias("spanId"), F.when(~F.col("is_root"), F.lit("p")).alias("parentSpanId"), F.lit(str(_NANOS)).alias("startTimeUnixNano"), F.lit("soon").alias("endTimeUnixNano"), attributes("intValue", F.col("line")).alias("attributes"), F.array_repeat(event, F.pmod("line", F.lit(3)).cast("int")).alias("events"), F.when(F.col("flag") == "R", F.array(link)).alias("links"))
-    body = l.groupBy((F.col("part") % 64).alias("request")).agg(_scope_body("spans", F.collect_list(span), F.array(_attribute("n", "intValue", F.lit("1000")))).alias("body"))
+    body = _numbered(l).groupBy("request").agg(_scope_body("spans", F.collect_list(span), F.array(_attribute("n", "intValue", F.lit("1000")))).alias("body"))
     out = bodies.otlp_traces(body, "body")
     number = F.try_variant_get("payload", "$.n", "long")
     return out.groupBy("trace_id", "annotation").agg(F.count("*").alias("n"), F.count_if("is_root").alias("n_roots"), F.sum(number).alias("total"), F.sum(F.unix_millis("ts") - F.lit(_NANOS // 1_000_000)).alias("ms"), F.count("duration_ms").alias("n_timed"), F.count("link_trace_id").alias("n_linked"))

@@ -61,11 +61,15 @@ def _item(v: Column) -> Column:
     return F.coalesce(*[c.cast("variant") for c in typed])
 
 
+def _once(c: Column, use) -> Column:
+    """``use`` of a column that is worked out once, not for each element of the lambdas in it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def _entries(attributes: Column, value) -> Column:
     """Key and value of each attribute; of a key that comes more than once the last, and none without key or value."""
     known = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: a["key"].isNotNull() & a["value"].isNotNull())
-    keys = F.transform(known, lambda a: a["key"])
-    last = F.filter(known, lambda a, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), a["key"]))
+    last = _once(known, lambda k: _once(F.transform(k, lambda a: a["key"]), lambda keys: F.filter(k, lambda a, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), a["key"]))))
     return F.filter(F.transform(last, lambda a: F.struct(a["key"].alias("key"), value(a["value"]).alias("value"))), lambda e: e["value"].isNotNull())
 
 
